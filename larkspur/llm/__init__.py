@@ -1,0 +1 @@
+"""Operators for large-scale training-data preparation."""
