@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, sharding
+from pyspark.sql import functions as F
+
+from . import langid, licenses, mixing, packing, sharding
 
 QUERIES = {}
 ORACLE = {}
@@ -40,3 +42,22 @@ def op8(spark, sf_dir):
 @register("op9_license_scan")
 def op9(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@register("op2_packing")
+def op2(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@register(
+    "op5_temperature_mixing",
+    f"""
+    WITH docs AS (SELECT doc_id, text, source FROM documents), {mixing.SQL}
+    SELECT d.doc_id, d.source, d.tokens AS mix_tokens, c.pass AS mix_pass, d.block AS mix_block,
+           c.block_rank AS mix_rank, c.exponent AS mix_exponent
+    FROM docs_t d JOIN chosen c USING (src, block)
+    """,
+)
+def op5(spark, sf_dir):
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return mixed.select("doc_id", "source", "mix_tokens", "mix_pass", F.col("mix_block").cast("bigint").alias("mix_block"), F.col("mix_rank").cast("bigint").alias("mix_rank"), "mix_exponent")
