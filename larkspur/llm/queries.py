@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import langid, licenses, mixing, packing, sharding
+from . import langid, licenses, mixing, packing, sharding, simhash
 
 QUERIES = {}
 ORACLE = {}
@@ -61,3 +61,8 @@ def op2(spark, sf_dir):
 def op5(spark, sf_dir):
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return mixed.select("doc_id", "source", "mix_tokens", "mix_pass", F.col("mix_block").cast("bigint").alias("mix_block"), F.col("mix_rank").cast("bigint").alias("mix_rank"), "mix_exponent")
+
+
+@register("op3_simhash")
+def op3(spark, sf_dir):
+    return simhash.classes(table(spark, sf_dir, "documents"))
