@@ -17,6 +17,7 @@ gives an empty result; columns beside doc_id and text are not read.
 from __future__ import annotations
 
 import json
+import math
 import zlib
 
 import numpy as np
@@ -29,8 +30,8 @@ from .common import keep, prepare
 WINDOW = 1024
 #: Gradient steps of the least squares.
 STEPS = 400
-#: Pieces that one rank window should hold on average.
-RANK_ROWS = 50_000
+#: Pieces that one rank window should hold on average: the root of their number, this at least.
+RANK_ROWS = 1_000
 SPECIAL = "<|endoftext|>"
 
 
@@ -198,9 +199,10 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, with_id
     cut = keep(pieces(docs, path, window, with_ids), "pieces")
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}  # window rows at most
     sent = spark.sparkContext.broadcast(places(plan(histogram, window), window))
-    salts = max(1, sum(histogram.values()) // RANK_ROWS)
+    rows = max(RANK_ROWS, math.isqrt(sum(histogram.values())))
+    salts = F.expr("array(%s)" % ",".join(str(1 + histogram.get(k, 0) // rows) for k in range(window + 1)))
     own = ["doc_id", "start", "ids_crc32"]
-    put = cut.withColumn("salt", F.pmod(F.xxhash64(*own), F.lit(salts)))
+    put = cut.withColumn("salt", F.pmod(F.xxhash64(*own), F.get(salts, F.col("length"))))
     counts = put.groupBy("length", "salt").agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("length", "salt", F.coalesce(upto, F.lit(0)).alias("before"))

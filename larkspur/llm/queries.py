@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import langid, licenses, mixing, packing, sharding, simhash
+from . import langid, licenses, mixing, packing, sharding, simhash, suffixes
 
 QUERIES = {}
 ORACLE = {}
@@ -66,3 +66,8 @@ def op5(spark, sf_dir):
 @register("op3_simhash")
 def op3(spark, sf_dir):
     return simhash.classes(table(spark, sf_dir, "documents"))
+
+
+@register("op6_suffix_array_dedup")
+def op6(spark, sf_dir):
+    return suffixes.removed(table(spark, sf_dir, "documents"))
