@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import langid, licenses, mixing, packing, sharding, simhash, suffixes
+from . import langid, licenses, lines, mixing, packing, sharding, simhash, suffixes
 
 QUERIES = {}
 ORACLE = {}
@@ -71,3 +71,8 @@ def op3(spark, sf_dir):
 @register("op6_suffix_array_dedup")
 def op6(spark, sf_dir):
     return suffixes.removed(table(spark, sf_dir, "documents"))
+
+
+@register("op1_line_dedup", lines.ORACLE_SQL)
+def op1(spark, sf_dir):
+    return lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", F.col("n_lines").cast("bigint").alias("n_lines"), F.col("n_removed").cast("bigint").alias("n_removed"))
