@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import langid, licenses, lines, mixing, packing, sharding, simhash, suffixes
+from . import langid, licenses, lines, mixing, packing, sharding, simhash, suffixes, topk
 
 QUERIES = {}
 ORACLE = {}
@@ -76,3 +76,20 @@ def op6(spark, sf_dir):
 @register("op1_line_dedup", lines.ORACLE_SQL)
 def op1(spark, sf_dir):
     return lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "text", F.col("n_lines").cast("bigint").alias("n_lines"), F.col("n_removed").cast("bigint").alias("n_removed"))
+
+
+@register(
+    "op10_exact_topk",
+    """
+    WITH v AS (
+      SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+      FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (
+      SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+    SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+    FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 5
+    """,
+)
+def op10(spark, sf_dir):
+    return topk.search(table(spark, sf_dir, "embeddings"))
