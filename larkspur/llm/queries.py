@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import langid, licenses, lines, mixing, packing, sharding, simhash, suffixes, topk
+from . import langid, licenses, lines, mixing, neighbours, packing, sharding, simhash, suffixes, topk
 
 QUERIES = {}
 ORACLE = {}
@@ -93,3 +93,8 @@ def op1(spark, sf_dir):
 )
 def op10(spark, sf_dir):
     return topk.search(table(spark, sf_dir, "embeddings"))
+
+
+@register("op7_nn_descent")
+def op7(spark, sf_dir):
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
