@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import keep, prepare
 
 LENGTH = 400
-K = 48
+K = 100
 PIECE = 1 << 19
 #: Contexts of an anchor from which on they are cut further and salted.
 HOT_ROWS = 2_000
@@ -135,16 +135,16 @@ def ranks(t: np.ndarray, depth: int, want: np.ndarray | None = None, covered: in
         zero = zero[want[zero]]
     pick = zero[np.argsort((pad[zero] << 31) | rank[zero + 1])]
     # merge: how many sample suffixes lie below each of the others, by bisection
-    lo, hi = np.zeros(len(pick), np.int64), np.full(len(pick), len(order))
-    live = np.arange(len(pick))
+    letters = pad[order]
+    lo, hi = np.searchsorted(letters, pad[pick]), np.searchsorted(letters, pad[pick], "right")
+    live = np.flatnonzero(lo < hi)
     while live.size:
         mid = (lo[live] + hi[live]) >> 1
         i, j = pick[live], order[mid]
+        # letters are equal; j at 1: then the rank of the next; j at 2: the next letter, the rank of the one after
         by_one = j % 3 == 1
-        x, y = pad[i], pad[j]
-        # j at 1: (letter, rank of the next); j at 2: (letter, letter, rank of the one after)
-        x2, y2 = np.where(by_one, rank[i + 1], pad[i + 1]), np.where(by_one, rank[j + 1], pad[j + 1])
-        below = (y < x) | ((y == x) & ((y2 < x2) | ((y2 == x2) & ~by_one & (rank[j + 2] < rank[i + 2]))))
+        x, y = np.where(by_one, rank[i + 1], pad[i + 1]), np.where(by_one, rank[j + 1], pad[j + 1])
+        below = (y < x) | ((y == x) & ~by_one & (rank[j + 2] < rank[i + 2]))
         lo[live] = np.where(below, mid + 1, lo[live])
         hi[live] = np.where(below, hi[live], mid)
         live = live[lo[live] < hi[live]]
@@ -203,20 +203,20 @@ def _cut(text: bytes, rows: list, length: int):
             yield g, n // HOT_ROWS, first, last - first + 1, text[first : last + length]
 
 
-def _grouped(batches, keys: tuple, limit: int, work):
-    """Feeds work(rows) lists of whole groups of a sorted partition, of about limit context bytes."""
-    held, size, last = [], 0, None
+def _grouped(batches, keys: tuple):
+    """Yields ({context: {place: row}}) of each group of a sorted partition: equal contexts meet, each place once."""
+    group: dict = {}
+    last = None
     for b in batches:
         for row in zip(*(b[c].to_pylist() for c in b.schema.names), strict=True):
             key = row[: len(keys)]
-            if key != last and size >= limit:
-                yield from work(held)
-                held, size = [], 0
-            held.append(row)
-            size += len(row[-1]) + 1
+            if key != last and group:
+                yield group
+                group = {}
+            group.setdefault(row[-1], {})[row[2:5]] = row
             last = key
-    if held:
-        yield from work(held)
+    if group:
+        yield group
 
 
 CONTEXTS = "g bigint, salt int, c1 bigint, c2 bigint, lo bigint, n int, context binary"
@@ -280,21 +280,18 @@ def starts(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]
 
     def once(batches):
         """Leaves one of equal contexts of a salted part; all but single ones repeat as a whole (context null)."""
-
-        def work(rows):
-            groups: dict = {}
-            for r in rows:
-                groups.setdefault((r[0], r[1], r[-1]), {})[r[2:5]] = r
-            for (g, _, context), same in groups.items():
-                if len(same) > 1:
-                    out.extend((g, -2, *r[2:6], None) for r in same.values())
+        out, size = [], 0
+        for group in _grouped(batches, ("g", "salt")):
+            for context, same in group.items():
                 r = next(iter(same.values()))
-                out.append((g, -1, *r[2:6], context))
-            yield _batch(out)
-            out.clear()
-
-        out: list = []
-        yield from _grouped(batches, ("g", "salt"), BATCH_BYTES, work)
+                if len(same) > 1:
+                    out.extend((r[0], -2, *x[2:6], None) for x in same.values())
+                out.append((r[0], -1, *r[2:6], context))
+                size += len(context) + 20 * len(same)
+            if size > 4 << 20:
+                yield _batch(out)
+                out, size = [], 0
+        yield _batch(out)
 
     order = ["g", "salt", "c1", "c2", "lo"]
     hot = cut.filter("salt >= 0").repartition("g", "salt").sortWithinPartitions(*order).mapInArrow(once, CONTEXTS)
@@ -302,23 +299,41 @@ def starts(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]
     last = cut.filter("salt < 0").unionByName(hot.filter("salt = -1"))
 
     def search(batches):
-        def work(rows):
-            unique = {r[2:5]: r for r in rows}  # repeated rows bring a place twice
-            rows = list(unique.values())
-            runs = repeats([r[-1] for r in rows], [r[5] for r in rows], length) if len(rows) > 1 else []
-            if len(rows) == 1 and rows[0][5] > 1:
-                runs = repeats([rows[0][-1]], [rows[0][5]], length)
-            cols = [(rows[k][2], rows[k][3], rows[k][4] + s, rows[k][4] + e) for k, s, e in runs]
-            cols = list(zip(*cols, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["c1", "c2", "lo", "hi"])
-
-        yield from _grouped(batches, ("g",), BATCH_BYTES, work)
+        """Equal contexts repeat as a whole; the different ones of a group go to a suffix array, some groups at a time."""
+        found, held, size = [], [], 0
+
+        def flush():
+            for k, s, e in repeats([r[-1] for r in held], [r[5] for r in held], length):
+                found.append((held[k][2], held[k][3], held[k][4] + s, held[k][4] + e))
+
+        for group in _grouped(batches, ("g",)):
+            for same in group.values():
+                if len(same) > 1:
+                    found.extend((r[2], r[3], r[4], r[4] + r[5]) for r in same.values())
+            if len(group) > 1:  # starts of one anchor lie at different offsets: within one context none repeats another
+                first = [next(iter(same.values())) for same in group.values()]
+                held += first
+                size += sum(len(r[-1]) + 1 for r in first)
+                if size > BATCH_BYTES:
+                    flush()
+                    held, size = [], 0
+            if len(found) > 50_000:
+                yield _runs(found)
+                found = []
+        if held:
+            flush()
+        yield _runs(found)
 
     runs = last.repartition("g").sortWithinPartitions("g", "c1", "c2", "lo").mapInArrow(search, "c1 bigint, c2 bigint, lo bigint, hi bigint")
     runs = runs.unionByName(hot.filter("salt = -2").select("c1", "c2", "lo", (F.col("lo") + F.col("n")).alias("hi")))
     return classes, keep(runs, "runs")
 
 
+def _runs(rows):
+    cols = list(zip(*rows, strict=True)) or [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["c1", "c2", "lo", "hi"])
+
+
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 
