@@ -89,6 +89,38 @@ def anchors(data: bytes, length: int = LENGTH, k: int = K):
     return [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 4
 
 
+def alone(data: bytes, found: list, length: int = LENGTH):
+    """(anchors left, runs): where a text holds equal contexts more than once their starts repeat
+    already; one of each is left to be compared with other texts.  Runs are joined (from, to) starts."""
+    h, pos, lo, hi = found
+    _, inverse, times = np.unique(h, return_inverse=True, return_counts=True)
+    again = np.flatnonzero(times[inverse] > 1)
+    if not len(again):
+        return found, []
+    seen: dict = {}
+    for i in again.tolist():
+        seen.setdefault((int(h[i]), int(pos[i] - lo[i]), data[lo[i] : hi[i] - 1 + length]), []).append(i)
+    drop, runs = [], []
+    for same in seen.values():
+        if len(same) > 1:
+            drop += same[1:]
+            runs += [(int(lo[i]), int(hi[i])) for i in same]
+    left = np.ones(len(h), bool)
+    left[drop] = False
+    return [x[left] for x in found], joined(sorted(runs))
+
+
+def joined(runs: list) -> list:
+    """Sorted runs with those that touch made one."""
+    out: list = []
+    for s, e in runs:
+        if out and s <= out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
+
+
 def names(*columns: np.ndarray) -> tuple[np.ndarray, int]:
     """Dense ranks of rows of two or three columns of values below 2^31, equal rows alike."""
     if len(columns) == 3:
@@ -245,13 +277,17 @@ def starts(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]
 
     def first(batches):
         for b in batches:
-            found = [anchors(d, length) if d is not None and len(d) >= length else [np.zeros(0, np.int64)] * 4 for d in b["data"].to_pylist()]
+            found, own = [], []
+            for d in b["data"].to_pylist():
+                f, r = alone(d, anchors(d, length), length) if len(d) >= length else ([np.zeros(0, np.int64)] * 4, [])
+                found.append(f)
+                own.append([{"lo": a, "hi": z} for a, z in r])
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(f[0]) for f in found])]), pa.int32())
             parts = [pa.array(np.concatenate([f[k] for f in found]) if found else [], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.int32()))]
             items = pa.StructArray.from_arrays(parts, names=["h", "pos", "lo", "hi"])
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["c1"], b["c2"], pa.compute.binary_length(b["data"]).cast(pa.int64()), pa.ListArray.from_arrays(offsets, items)], names=["doc_id", "c1", "c2", "n_bytes", "anchors"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["c1"], b["c2"], pa.compute.binary_length(b["data"]).cast(pa.int64()), pa.ListArray.from_arrays(offsets, items), pa.array(own, pa.list_(pa.struct([("lo", pa.int64()), ("hi", pa.int64())])))], names=["doc_id", "c1", "c2", "n_bytes", "anchors", "own"])
 
-    schema = "doc_id bigint, c1 bigint, c2 bigint, n_bytes bigint, anchors array<struct<h:bigint,pos:int,lo:int,hi:int>>"
+    schema = "doc_id bigint, c1 bigint, c2 bigint, n_bytes bigint, anchors array<struct<h:bigint,pos:int,lo:int,hi:int>>, own array<struct<lo:bigint,hi:bigint>>"
     prints = keep(rows.select("doc_id", "c1", "c2", "data").mapInArrow(first, schema), "anchors")
     classes = keep(prints.groupBy("c1", "c2", "n_bytes").agg(F.count("*").alias("rows"), F.min("doc_id").alias("rep")), "classes")
     reps = prints.join(classes.select("c1", "c2", "rep"), ["c1", "c2"]).filter(F.col("doc_id").eqNullSafe(F.col("rep")))
@@ -285,7 +321,10 @@ def starts(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]
             for context, same in group.items():
                 r = next(iter(same.values()))
                 if len(same) > 1:
-                    out.extend((r[0], -2, *x[2:6], None) for x in same.values())
+                    texts: dict = {}
+                    for x in same.values():
+                        texts.setdefault(x[2:4], []).append((x[4], x[4] + x[5]))
+                    out.extend((r[0], -2, *c, s, e - s, None) for c, runs in texts.items() for s, e in joined(sorted(runs)))
                 out.append((r[0], -1, *r[2:6], context))
                 size += len(context) + 20 * len(same)
             if size > 4 << 20:
@@ -326,7 +365,8 @@ def starts(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame, DataFrame]
 
     runs = last.repartition("g").sortWithinPartitions("g", "c1", "c2", "lo").mapInArrow(search, "c1 bigint, c2 bigint, lo bigint, hi bigint")
     runs = runs.unionByName(hot.filter("salt = -2").select("c1", "c2", "lo", (F.col("lo") + F.col("n")).alias("hi")))
-    return classes, keep(runs, "runs")
+    inner = reps.select("c1", "c2", F.explode("own").alias("o")).select("c1", "c2", "o.lo", "o.hi").distinct()
+    return classes, keep(runs.unionByName(inner), "runs")
 
 
 def _runs(rows):
