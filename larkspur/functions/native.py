@@ -1,4 +1,9 @@
-"""User functions: C bodies compiled once per executor, and Python ones."""
+"""User functions written in C.
+
+A body that is one ``return`` of an expression becomes a SQL function, which the
+optimizer inlines; any other body is compiled once per executor and called by
+Arrow batches.
+"""
 
 from __future__ import annotations
 
@@ -66,9 +71,41 @@ def _library(text: str):
     return _loaded[text]
 
 
+_C_TOKEN = re.compile(r"\s+|[A-Za-z_]\w*|\d+\.\d*f?|\.\d+f?|\d+[lLuU]*|==|!=|<=|>=|&&|\|\||[-+*/%<>!()]")
+
+
+def expression(body: str, args: list, result: str) -> str | None:
+    """SQL of a body that returns one expression over its arguments, else None."""
+    m = re.fullmatch(r"\s*return\b(.*?);\s*", body, re.S)
+    if not m or ";" in m[1]:
+        return None
+    names = {a: t.lower() for a, t in args}
+    integers = all(TYPES[t][2].startswith("int") for t in names.values())
+    out, at = [], 0
+    while at < len(m[1]):
+        t = _C_TOKEN.match(m[1], at)
+        if not t:
+            return None
+        at, word = t.end(), t.group().strip()
+        if not word:
+            continue
+        if re.match(r"[A-Za-z_]", word) and word not in names:
+            return None
+        if word == "/" and not integers or word == "!":
+            return None  # mixed division and negation of numbers are left to the compiler
+        word = re.sub(r"[fFlLuU]+$", "", word) if word[0].isdigit() or word[0] == "." else word
+        out.append({"==": "=", "!=": "<>", "&&": "AND", "||": "OR", "/": "DIV"}.get(word, word))
+    return " ".join(out)
+
+
 def register(spark: SparkSession, statement: str) -> None:
-    """CREATE FUNCTION: C by Arrow batches; nulls in, null out; defining again replaces."""
+    """CREATE FUNCTION: nulls in, null out; defining again replaces."""
     name, args, result, language, body = parse(statement)
+    if language == "c" and args and (sql := expression(body, args, result)) is not None:
+        kinds = ", ".join(f"{a} {TYPES[t.lower()][1]}" for a, t in args)
+        kind = TYPES[result.lower()][1]
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name} ({kinds}) RETURNS {kind} RETURN CAST({sql} AS {kind})")
+        return
     spark_type, numpy_type = TYPES[result.lower()][1:]
     if language != "c":
         raise ValueError(f"language {language} isn't supported")

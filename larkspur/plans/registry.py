@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import re
+
+from ..session import Engine
 
 QUERIES = {}
 ORACLE = {}
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
 def register(name, sql):
@@ -20,34 +23,22 @@ def register(name, sql):
     return add
 
 
-@register(
-    "tpch_q1",
-    """
-    SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty,
-           round(sum(l_extendedprice), 2) AS sum_base_price,
-           round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc_price,
-           round(sum(l_extendedprice * (1 - l_discount) * (1 + l_tax)), 2) AS sum_charge,
-           round(avg(l_quantity), 4) AS avg_qty, round(avg(l_extendedprice), 4) AS avg_price,
-           round(avg(l_discount), 6) AS avg_disc, count(*) AS count_order
-    FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02 00:00:00'
-    GROUP BY l_returnflag, l_linestatus ORDER BY l_returnflag, l_linestatus
-    """,
-)
-def tpch_q1(spark, sf_dir):
-    disc = F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    return (
-        spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-        .filter(F.col("l_shipdate") <= F.lit("1998-09-02 00:00:00").cast("timestamp_ntz"))
-        .groupBy("l_returnflag", "l_linestatus")
-        .agg(
-            F.round(F.sum("l_quantity"), 2).alias("sum_qty"),
-            F.round(F.sum("l_extendedprice"), 2).alias("sum_base_price"),
-            F.round(F.sum(disc), 2).alias("sum_disc_price"),
-            F.round(F.sum(disc * (1 + F.col("l_tax"))), 2).alias("sum_charge"),
-            F.round(F.avg("l_quantity"), 4).alias("avg_qty"),
-            F.round(F.avg("l_extendedprice"), 4).alias("avg_price"),
-            F.round(F.avg("l_discount"), 6).alias("avg_disc"),
-            F.count("*").alias("count_order"),
-        )
-        .orderBy(F.asc_nulls_last("l_returnflag"), F.asc_nulls_last("l_linestatus"))
-    )
+def engine(spark, sf_dir, text: str) -> Engine:
+    """An engine with the tables that text names."""
+    e = Engine(spark)
+    for t in TABLES:
+        if re.search(rf"\b{t}\b", text):
+            e.add_table(t, spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+    return e
+
+
+def dialect(name, text, sql=None):
+    """Adds a query in the SQL dialect; sql is its oracle where DuckDB words it otherwise."""
+
+    def run(spark, sf_dir):
+        return engine(spark, sf_dir, text).sql(text)
+
+    register(name, sql or text)(run)
+
+
+from . import graph_queries, operator_queries, sql_queries  # noqa: E402, F401
