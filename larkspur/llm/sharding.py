@@ -4,8 +4,9 @@ The old layout holds documents by the hash of their text, so equal texts lie in
 one old shard and in one block.  Old shard sizes and new capacities make a
 transport network: keeping bytes costs nothing, moving one costs one.  Its
 cheapest flow says how many bytes each old shard hands to each new one; whole
-blocks realise it, the largest first.  A block too large for that (a hot text)
-is cut into parts by the hash of the ids.  Only shards that lose or gain a
+blocks realise it, the largest first.  A block too large for that is cut by
+further bits of the text's hash, and where a single text is too large, by a hash
+of the ids.  Only shards that lose or gain a
 block are written anew.
 
 Defined cases: a null text counts 0 bytes and has the checksum of no bytes; null
@@ -24,6 +25,7 @@ from .common import keep, prepare
 SHARDS = 24
 OLD_SHARDS = 16
 BLOCKS = 256  # per old shard
+CELLS = 64  # parts of a hot block, and of a hot text
 #: Documents that one rank window should hold on average.
 RANK_ROWS = 50_000
 
@@ -104,34 +106,46 @@ def facts(docs: DataFrame, *columns: str) -> DataFrame:
         F.crc32(data).alias("text_crc32"),
         F.pmod(h, F.lit(OLD_SHARDS)).cast("int").alias("old"),
         F.pmod(F.shiftright(h, 8), F.lit(BLOCKS)).cast("int").alias("part"),
-        F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(64)).cast("int").alias("cut"),
+        F.pmod(F.shiftright(h, 16), F.lit(CELLS)).cast("int").alias("sub"),
+        F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(CELLS)).cast("int").alias("cut"),
         *columns,
     )
 
 
-def plan(rows: DataFrame, shards: int = SHARDS) -> tuple[DataFrame, dict]:
-    """(block table (old, part, cut, shard), summary); rows are from facts().
+def _marked(rows: DataFrame, hot: set, keys: list, then: str) -> DataFrame:
+    """rows with -1 in column then where the block is not hot; hot has few hundred entries at most."""
+    if not hot:
+        return rows.withColumn(then, F.lit(-1))
+    table = rows.sparkSession.createDataFrame(sorted(hot), ", ".join(f"{k} int" for k in keys)).withColumn("_hot", F.lit(True))
+    out = rows.join(F.broadcast(table), keys, "left")
+    return out.withColumn(then, F.when(F.col("_hot"), F.col(then)).otherwise(-1)).drop("_hot")
 
-    Collected: sizes of OLD_SHARDS x BLOCKS x 64 cells at most, whatever the input.
-    A block of more than a sixteenth of a shard is planned by its 64 cells, the rest whole."""
+
+def plan(rows: DataFrame, shards: int = SHARDS) -> tuple[DataFrame, dict, DataFrame]:
+    """(rows with their block, summary, block table with the new shard); rows are from facts().
+
+    A block of more than a sixteenth of a shard is planned by its CELLS parts, so there are
+    at most 16 x shards hot ones: what is collected is bounded by OLD_SHARDS x BLOCKS +
+    2 x 16 x shards x CELLS sizes, whatever the input."""
     spark = rows.sparkSession
-    cells = rows.groupBy("old", "part", "cut").agg(F.sum("size").alias("bytes")).collect()
-    whole: dict = {}
-    for r in cells:
-        whole[r["old"], r["part"]] = whole.get((r["old"], r["part"]), 0) + r["bytes"]
-    total = sum(whole.values())
-    hot = {k for k, v in whole.items() if v > total / shards / 16}
-    blocks = [(k[0], (*k, -1), v) for k, v in whole.items() if k not in hot]
-    blocks += [(r["old"], (r["old"], r["part"], r["cut"]), r["bytes"]) for r in cells if (r["old"], r["part"]) in hot]
+    sizes = {(r["old"], r["part"]): r["bytes"] for r in rows.groupBy("old", "part").agg(F.sum("size").alias("bytes")).collect()}
+    total = sum(sizes.values())
+    limit = total / shards / 16
+    hot = {k for k, v in sizes.items() if v > limit}
+    rows = _marked(rows, hot, ["old", "part"], "sub")
+    finer = {(r["old"], r["part"], r["sub"]): r["bytes"] for r in rows.filter("sub >= 0").groupBy("old", "part", "sub").agg(F.sum("size").alias("bytes")).collect()} if hot else {}
+    hotter = {k for k, v in finer.items() if v > limit}
+    rows = _marked(rows, hotter, ["old", "part", "sub"], "cut")
+    finest = {(r["old"], r["part"], r["sub"], r["cut"]): r["bytes"] for r in rows.filter("cut >= 0").groupBy("old", "part", "sub", "cut").agg(F.sum("size").alias("bytes")).collect()} if hotter else {}
+    blocks = [(k[0], (*k, -1, -1), v) for k, v in sizes.items() if k not in hot]
+    blocks += [(k[0], (*k, -1), v) for k, v in finer.items() if k not in hotter]
+    blocks += [(k[0], k, v) for k, v in finest.items()]
     capacity = [total // shards + (j < total % shards) for j in range(shards)]
     to = assign_blocks(blocks, capacity)
     moved = sum(v for old, k, v in blocks if to[k] != old)
-    table = spark.createDataFrame(
-        [(r["old"], r["part"], r["cut"], to[k] if (k := (r["old"], r["part"], -1)) in to else to[r["old"], r["part"], r["cut"]]) for r in cells],
-        "old int, part int, cut int, shard int",
-    )
+    table = spark.createDataFrame([(*k, to[k]) for _, k, _ in blocks], "old int, part int, sub int, cut int, shard int")
     touched = sorted({s for old, k, _ in blocks if to[k] != old for s in (old, to[k]) if s < shards})
-    return table, {"bytes": total, "moved": moved, "blocks": len(blocks), "touched": touched}
+    return rows, {"bytes": total, "moved": moved, "blocks": len(blocks), "touched": touched}, table
 
 
 def reshard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -141,10 +155,10 @@ def reshard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     pieces of blocks, and the pieces' counts are summed up, so no task holds a shard."""
     prepare(docs.sparkSession)
     rows = keep(facts(docs), "shard-facts")
-    table, _ = plan(rows, shards)
     n = rows.count()
+    rows, _, table = plan(rows, shards)
     pieces = max(1, min(4096, n // RANK_ROWS))
-    put = rows.join(table, ["old", "part", "cut"]).withColumn("piece", F.pmod(F.xxhash64(F.lit(11), "old", "part", "doc_id", "text_crc32"), F.lit(pieces)).cast("int"))
+    put = rows.join(table, ["old", "part", "sub", "cut"]).withColumn("piece", F.pmod(F.xxhash64(F.lit(11), "old", "part", "doc_id", "text_crc32"), F.lit(pieces)).cast("int"))
     counts = put.groupBy("shard", "piece").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("shard", "piece", F.coalesce(before, F.lit(0)).alias("before"))
@@ -161,8 +175,8 @@ def rewrite(docs: DataFrame, path: str, shards: int = SHARDS) -> dict:
     as its blocks ask for, and leaves the others as they lie; returns the plan's summary."""
     prepare(docs.sparkSession)
     full = facts(docs, *(F.col(c).alias(f"doc_{i}") for i, c in enumerate(docs.columns)))
-    table, summary = plan(facts(docs), shards)
-    out = full.join(table, ["old", "part", "cut"]).filter(F.col("shard").isin([*summary["touched"], -1]))
+    full, summary, table = plan(full, shards)
+    out = full.join(table, ["old", "part", "sub", "cut"]).filter(F.col("shard").isin([*summary["touched"], -1]))
     (
         out.select(*(F.col(f"doc_{i}").alias(c) for i, c in enumerate(docs.columns)), F.col("shard").alias("shard"), "part")
         .repartition("shard", F.expr("part div 16"))
