@@ -33,13 +33,12 @@ from pyspark.sql import functions as F
 from .common import forget, keep, prepare
 
 THRESHOLD = 0.8
-#: Buckets of the token sketch (as a power of two); it is a megabyte whatever the input.
-SKETCH_BITS = 20
+#: Buckets of the token sketch as powers of two: sixteen a document between these bounds, a byte each.
+SKETCH_BITS = (16, 24)
 #: Predecessors in a token's group that a line meets at once, besides the first.
 BACK = 2
 #: Count class (6 log2 of the count) from which on a token's group is salted.
 SALT_CLASS = 72
-_LAST = (1 << 63) - 1
 
 
 def words(line):
@@ -56,34 +55,58 @@ def _bit(place):
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
 
 
-def line_id(doc, number):
-    """One number that orders lines by document, then by place; null ids come last."""
-    return (F.coalesce(doc, F.lit(_LAST)).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + number.cast("decimal(11,0)")).cast("decimal(33,0)")
+class Ids:
+    """One number that orders lines by document, then by place; null ids come last.
 
+    A long where ids and line numbers fit into 43 and 20 bits, else a decimal."""
 
-def sketch(docs: DataFrame) -> DataFrame:
-    """One row: the count class of every hash bucket, over all tokens of all documents."""
-    size = 1 << SKETCH_BITS
+    def __init__(self, docs: DataFrame):
+        d = F.coalesce(F.col("doc_id"), F.lit(0))
+        breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
+        r = docs.agg(F.min(d).alias("lo"), F.max(d).alias("hi"), F.max(breaks).alias("k")).first()
+        self.narrow = r["lo"] is None or (r["lo"] >= 0 and r["hi"] < (1 << 43) - 1 and (r["k"] or 0) < (1 << 20) - 1)
+        self.last = (1 << 43) - 1 if self.narrow else (1 << 63) - 1
+
+    def doc(self, doc):
+        return F.coalesce(doc, F.lit(self.last)).cast("bigint")
+
+    def pack(self, doc, number):
+        if self.narrow:
+            return self.doc(doc) * F.lit(1 << 20) + number.cast("bigint")
+        return (self.doc(doc).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + number.cast("decimal(11,0)")).cast("decimal(33,0)")
+
+    def unpack(self, id_):
+        """(document, number) columns."""
+        if self.narrow:
+            return F.shiftright(id_, 20), id_.bitwiseAND(F.lit((1 << 20) - 1)).cast("int")
+        base = F.lit(1 << 32).cast("decimal(11,0)")
+        return F.floor(id_ / base).cast("bigint"), (id_ % base).cast("int")
+
+
+def sketch(docs: DataFrame, size: int) -> DataFrame:
+    """One row: the count class of each of size hash buckets, over all tokens of all documents."""
     token = docs.select(F.explode(words(F.translate("text", "\n", " "))).alias("w")).filter("w <> ''")
-    counts = token.select(F.pmod(F.xxhash64("w"), F.lit(size)).cast("int").alias("b")).groupBy("b").agg(F.count("*").alias("n"))
+    counts = token.select(F.xxhash64("w").bitwiseAND(F.lit(size - 1)).cast("int").alias("b")).groupBy("b").agg(F.count("*").alias("n"))
     zeros = docs.sparkSession.range(size).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("bigint").alias("n"))
     full = counts.unionByName(zeros).groupBy("b").agg(F.least(F.lit(127), F.floor(6 * F.log2(F.sum("n") + 1))).cast("tinyint").alias("v"))
     runs = full.groupBy(F.shiftright("b", 10).alias("hi")).agg(F.transform(F.sort_array(F.collect_list(F.struct("b", "v"))), lambda x: x["v"]).alias("vs"))
     return runs.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("hi", "vs"))), lambda x: x["vs"])).alias("sketch"))
 
 
-def line_sets(docs: DataFrame, t: float) -> DataFrame:
+def line_sets(docs: DataFrame, t: float, ids: Ids) -> DataFrame:
     """One row per distinct token set: id of its first line, n, sig and prefix (tokens, rarest first)."""
-    size = F.lit(1 << SKETCH_BITS)
+    buckets = 1 << min(max(docs.count().bit_length() + 4, SKETCH_BITS[0]), SKETCH_BITS[1])
     low = F.lit((1 << 56) - 1)
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
-    hashed = lines.select(line_id(F.col("doc_id"), F.col("k")).alias("id"), hashes("line").alias("h"), sketch(docs).scalar().alias("sketch")).filter(F.size("h") > 0)
-    rank = lambda v: F.shiftleft(F.get("sketch", F.pmod(v, size).cast("int")).cast("bigint"), 56).bitwiseOR(v.bitwiseAND(low))
+    hashed = lines.select(ids.pack(F.col("doc_id"), F.col("k")).alias("id"), hashes("line").alias("h"))
+    rank = lambda v: F.shiftleft(F.get("sketch", v.bitwiseAND(F.lit(buckets - 1)).cast("int")).cast("bigint"), 56).bitwiseOR(v.bitwiseAND(low))
     parity = F.aggregate("h", F.lit(0).cast("bigint"), lambda a, v: a.bitwiseXOR(_bit(v.bitwiseAND(F.lit(63)).cast("int"))))
-    keyed = hashed.select("id", F.size("h").alias("n"), parity.alias("sig"), F.sort_array(F.transform("h", rank)).alias("keys"))
+    # every column of these steps is used once, so the optimizer puts the scalar into the lambda and no row carries it
+    keyed = hashed.select("id", F.size("h").alias("n"), parity.alias("sig"), "h").select("*", sketch(docs, buckets).scalar().alias("sketch"))
+    keyed = keyed.select("id", "n", "sig", F.sort_array(F.transform("h", rank)).alias("keys"))
     first = F.col("n") - F.ceil(F.lit(t) * F.col("n") - 1e-9) + 1
     return (
-        keyed.select("id", "n", "sig", F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"), F.slice("keys", F.lit(1), first.cast("int")).alias("prefix"))
+        keyed.filter("n > 0").select("id", "n", "sig", F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"), F.slice("keys", F.lit(1), first.cast("int")).alias("prefix"))
         .groupBy("h1", "h2", "n", "sig", "prefix")
         .agg(F.min("id").alias("id"))
         .select("id", "n", "sig", "prefix")
@@ -102,57 +125,76 @@ def possible(x, y, t: float):
 
 
 def postings(sets: DataFrame, t: float) -> DataFrame:
-    """(token, cell, id, n, pos, sig, met, open): prefix tokens with the earlier lines they met at once;
-    open: the group holds more than those.  Postings with neither are left out."""
+    """(token, id, n, pos, sig and other columns of sets): the prefix tokens that another set may share."""
     small = t / (1 - t) - 1e-9  # sets of fewer tokens match equal ones only
-    cls = F.shiftrightunsigned("token", 56)
-    salts = F.call_function("shiftleft", F.lit(1), F.greatest(F.lit(0), F.floor((cls - SALT_CLASS) / 6)).cast("int"))
-    rows = (
-        sets.filter(F.col("n") >= small)
-        .select("id", "n", "sig", F.posexplode("prefix").alias("pos", "token"))
-        .filter(cls > 6)  # a bucket counted once holds a token that stands nowhere else
-        .withColumn("cell", F.pmod(F.xxhash64("id"), salts).cast("int"))
-        .withColumn("salts", salts)
-    )
-    group = Window.partitionBy("token", "cell")
-    by = group.orderBy("id")
+    rows = sets.filter(F.col("n") >= small).select(*(c for c in sets.columns if c != "prefix"), F.posexplode("prefix").alias("pos", "token"))
+    return rows.filter(F.shiftrightunsigned("token", 56) > 6)  # a bucket counted once holds a token that stands nowhere else
+
+
+def first_pairs(sets: DataFrame, t: float) -> DataFrame:
+    """(x, y): each line with those it may match of the first line of its token's group and its last predecessors.
+
+    Groups of frequent tokens are salted by what the sketch says of them."""
+    salts = F.call_function("shiftleft", F.lit(1), F.greatest(F.lit(0), F.floor((F.shiftrightunsigned("token", 56) - SALT_CLASS) / 6)).cast("int"))
+    rows = postings(sets, t).withColumn("cell", F.pmod(F.xxhash64("id"), salts).cast("int"))
+    by = Window.partitionBy("token", "cell").orderBy("id")
     me = F.struct("id", "n", "pos", "sig")
-    near = [F.first(me).over(by), *(F.lag(me, i).over(by) for i in range(1, BACK + 1))]
-    met = F.array_distinct(F.array(*near))
-    seen = rows.withColumn("met", met).withColumn("size", F.count("*").over(group))
-    ok = F.filter("met", lambda y: y.isNotNull() & (y["id"] < F.col("id")) & possible({c: F.col(c) for c in ("n", "pos", "sig")}, y, t))
-    out = seen.select("token", "id", "n", "pos", "sig", F.transform(ok, lambda y: y["id"]).alias("met"), ((F.col("size") > BACK + 2) | (F.col("salts") > 1)).alias("open"))
-    return out.filter((F.size("met") > 0) | F.col("open"))
+    rows = rows.withColumn("near", F.array(F.first(me).over(by), *(F.lag(me, i).over(by) for i in range(1, BACK + 1))))
+    own = {c: F.col(c) for c in ("n", "pos", "sig")}
+    ok = F.filter(F.array_distinct("near"), lambda y: y.isNotNull() & (y["id"] < F.col("id")) & possible(own, y, t))
+    return rows.select("id", F.explode(F.transform(ok, lambda y: y["id"])).alias("y")).select(F.col("id").alias("x"), "y").distinct()
+
+
+def other_pairs(sets: DataFrame, later: DataFrame, t: float) -> DataFrame:
+    """(x, y): lines not settled yet with every earlier line they may match.
+
+    Both sides are one exchange: whether x is settled is asked in the join, not before it."""
+    known = sets.join(later.withColumn("done", F.lit(1)), "id", "left").select("id", "n", "sig", "prefix", F.coalesce("done", F.lit(0)).alias("done"))
+    rows = postings(known, t)
+    left, right = rows.alias("l"), rows.alias("r")
+    side = lambda s: {c: F.col(f"{s}.{c}") for c in ("n", "pos", "sig")}
+    open_ = F.col("l.done") < F.least(F.col("r.n"), F.lit(1))
+    on = (F.col("l.token") == F.col("r.token")) & (F.col("r.id") < F.col("l.id")) & open_ & possible(side("l"), side("r"), t)
+    return left.join(right, on).select(F.col("l.id").alias("x"), F.col("r.id").alias("y")).distinct()
 
 
-def verified(docs: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, t: float, ids: Ids) -> DataFrame:
     """Ids x of pairs(x, y) whose lines have similarity t or more, by their whole token sets."""
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    base = F.lit(1 << 32).cast("decimal(11,0)")
-    by_doc = wanted.select(F.floor(F.col("id") / base).cast("bigint").alias("d"), (F.col("id") % base).cast("int").alias("k"), "id").groupBy("d").agg(F.collect_list(F.struct("k", "id")).alias("ks"))
-    text = docs.select(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), F.split("text", "\n").alias("lines"))
-    sets = text.join(by_doc, "d").select(F.explode("ks").alias("e"), "lines").select("e.id", hashes(F.get("lines", F.col("e.k"))).alias("h")).filter("h is not null").distinct()
+    d, k = ids.unpack(F.col("id"))
+    by_doc = wanted.select(d.alias("d"), k.alias("k"), "id").groupBy("d").agg(F.collect_list(F.struct("k", "id")).alias("ks"))
+    text = docs.select(ids.doc(F.col("doc_id")).alias("d"), "text")
+    sets = text.join(by_doc, "d").select("ks", F.split("text", "\n").alias("lines")).select(F.explode("ks").alias("e"), "lines")
+    sets = sets.select("e.id", F.get("lines", F.col("e.k")).alias("line")).filter("line is not null").select("id", hashes("line").alias("h"))
     left = pairs.join(sets.withColumnRenamed("id", "x").withColumnRenamed("h", "hx"), "x")
     both = left.join(sets.withColumnRenamed("id", "y").withColumnRenamed("h", "hy"), "y")
     shared = F.size(F.array_intersect("hx", "hy"))
     return both.filter(shared * (1 + t) >= t * (F.size("hx") + F.size("hy")) - 1e-9).select(F.col("x").alias("id")).distinct()
 
 
-def repeated_lines(docs: DataFrame, t: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+def settled(docs: DataFrame, pairs: DataFrame, t: float, ids: Ids) -> DataFrame:
+    """Ids x of pairs(x, y) with a verified match: one is enough, so the first y is tried before the others."""
+    one = pairs.groupBy("x").agg(F.min("y").alias("y"))
+    got = keep(verified(docs, one, t, ids), "line-later")
+    rest = keep(pairs.join(got.withColumnRenamed("id", "x"), "x", "left_anti").join(one, ["x", "y"], "left_anti"), "line-pairs")
+    if not rest.isEmpty():
+        got = got.unionByName(keep(verified(docs, rest, t, ids), "line-later")).distinct()
+    forget(rest)
+    return got
+
+
+def repeated_lines(docs: DataFrame, t: float, ids: Ids) -> tuple[DataFrame, DataFrame]:
     """(first, later): ids of the first lines of all token sets, and those among them with an earlier match."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sets = keep(line_sets(docs, t), "line-sets")
-    met = keep(postings(sets, t), "line-postings")
-    pairs = met.select(F.col("id").alias("x"), F.explode("met").alias("y")).distinct()
-    later = keep(verified(docs, keep(pairs, "line-pairs"), t), "line-later")
-    group = met.filter("open").select("token", "id", "n", "pos", "sig")
-    left = group.join(later, "id", "left_anti").alias("l")
-    right = group.alias("r")
-    side = lambda s: {c: F.col(f"{s}.{c}") for c in ("n", "pos", "sig")}
-    rest = left.join(right, (F.col("l.token") == F.col("r.token")) & (F.col("r.id") < F.col("l.id")) & possible(side("l"), side("r"), t)).select(F.col("l.id").alias("x"), F.col("r.id").alias("y")).distinct()
-    more = keep(verified(docs, keep(rest, "line-pairs"), t), "line-later")
-    forget(met)
-    return sets.select("id"), later.unionByName(more).distinct()
+    sets = keep(line_sets(docs, t, ids), "line-sets")
+    pairs = keep(first_pairs(sets, t), "line-pairs")
+    later = settled(docs, pairs, t, ids)
+    rest = keep(other_pairs(sets, later, t), "line-pairs")
+    first = keep(sets.select("id"), "line-first")
+    forget(sets)
+    forget(pairs)
+    more = settled(docs, rest, t, ids)
+    forget(rest)
+    return first, later.unionByName(more).distinct()
 
 
 def dedup(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
@@ -160,17 +202,19 @@ def dedup(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
     prepare(docs.sparkSession)
     if clash := {"n_lines", "n_removed"} & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} exist already")
-    first, later = repeated_lines(docs, t)
-    base = F.lit(1 << 32).cast("decimal(11,0)")
-    stay = first.join(later, "id", "left_anti").select(F.floor(F.col("id") / base).cast("bigint").alias("_d"), (F.col("id") % base).cast("int").alias("k"))
+    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    ids = Ids(slim)
+    first, later = repeated_lines(slim, t, ids)
+    d, k = ids.unpack(F.col("id"))
+    stay = first.join(later, "id", "left_anti").select(d.alias("_d"), k.alias("k"))
     bits = stay.groupBy("_d", F.shiftright("k", 6).alias("at")).agg(F.bit_or(_bit(F.col("k").bitwiseAND(F.lit(63)))).alias("bits"))
     masks = bits.groupBy("_d").agg(F.map_from_entries(F.collect_list(F.struct("at", "bits"))).alias("_m"), F.max("at").alias("_top"))
     masks = masks.select("_d", F.transform(F.sequence(F.lit(0), F.col("_top")), lambda i: F.coalesce(F.element_at("_m", i), F.lit(0).cast("bigint"))).alias("_mask"))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_LAST)).alias("_d"))
-    lines = F.split("_row.text", "\n")
+    masks = keep(masks, "line-masks")
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), ids.doc(F.col("doc_id")).alias("_d"))
     bit = lambda i: F.call_function("shiftright", F.coalesce(F.get("_mask", F.shiftright(i, 6)), F.lit(0).cast("bigint")), i.bitwiseAND(F.lit(63)))
     kept = F.filter("_lines", lambda line, i: (bit(i).bitwiseAND(F.lit(1).cast("bigint")) == 1) | (F.trim(F.translate(line, "\t\r\x0b\x0c", "    ")) == ""))
-    out = rows.join(masks, "_d", "left").select("_row", "_mask", lines.alias("_lines")).select("_row", "_lines", kept.alias("_kept"))
+    out = rows.join(masks, "_d", "left").select("_row", "_mask", F.split("_row.text", "\n").alias("_lines")).select("_row", "_lines", kept.alias("_kept"))
     columns = [F.array_join("_kept", "\n").alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns]
     n = F.coalesce(F.size("_lines"), F.lit(0))
     return out.select(*columns, F.when(F.col("_lines").isNull(), 0).otherwise(n).alias("n_lines"), F.when(F.col("_lines").isNull(), 0).otherwise(n - F.size("_kept")).alias("n_removed"))

@@ -287,4 +287,4 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, report: dict
     x = F.col("embedding")
     bad = F.coalesce(F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c.cast("double")) == float("inf"))), F.lit(True)) | ~F.coalesce(F.exists(x, lambda c: c != 0), F.lit(False))
     rest = rows.filter(bad).select(F.col("vec_id").cast("bigint").alias("vec_id"), F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").cast("bigint").alias("component_id"))
-    return linked.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return linked.unionByName(rest).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
