@@ -99,7 +99,7 @@ def _exists(operand: list, op: list, query: list, negate: bool) -> list:
     else:
         names, cond = ["_c"], [*operand, *op, "_c"]
     head = [x for n in names for x in (",", n)][1:]
-    return ["EXISTS", ["SELECT", "1", "FROM", query, "AS", "_q", head, "WHERE", *((["NOT", cond]) if negate else cond)]]
+    return ["EXISTS", ["SELECT", "1", "FROM", query, "AS", "_q", head, "WHERE", *([cond, "IS", "NOT", "TRUE"] if negate else cond)]]
 
 
 def quantified(seq: list) -> list:

@@ -30,6 +30,7 @@ class Engine:
         self.path = path
         self.tables: dict = {}
         self.keys: dict = {}
+        self.required: dict = {}
         self.stored: set = set()
         self.settings: dict = {"persist": "0"}
         self.graphs = None
@@ -51,7 +52,7 @@ class Engine:
             raise ValueError(f"no value for columns {sorted(missing)}")
         rows = new.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in old.schema.fields))
         for f in old.schema.fields:
-            if not f.nullable:
+            if f.name in self.required.get(name.lower(), ()):
                 rows = rows.withColumn(f.name, F.coalesce(F.col(f.name), F.raise_error(F.lit(f"NULL in column {f.name}")).cast(f.dataType)))
         target = f"{self.path}/{name.lower()}"
         if name.lower() not in self.stored and not old.isEmpty():
@@ -131,9 +132,9 @@ class Engine:
                 keys.append(part[0])
             strict = key or any(a == "NOT" and b == "NULL" for a, b in zip(words, words[1:], strict=False))
             fields.append(T.StructField(part[0], T._parse_datatype_string(base), not strict))
-        for f in fields:
-            f.nullable = f.nullable and f.name not in keys
+        fields = [T.StructField(f.name, f.dataType, f.nullable and f.name not in keys) for f in fields]
         self.keys[name.lower()] = keys
+        self.required[name.lower()] = [f.name for f in fields if not f.nullable]
         self.add_table(name, self.spark.createDataFrame([], T.StructType(fields)))
 
     def _insert(self, s: str) -> None:

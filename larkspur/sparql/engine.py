@@ -141,13 +141,12 @@ def query(store: GraphStore, text: str) -> DataFrame:
                 raise SparqlError(f"?{n} is bound already")
         aggs = [planner.aggregate(e, scope).alias(n) for e, n in found.items()]
         df = df.groupBy(*keys).agg(*aggs) if aggs else df.select(*keys).distinct()
-        value = lambda e: planner.value(_resolve(e, grouped), {})
-        for e in having:
-            df = df.filter(F.coalesce(planner.truthy(_resolve(e, grouped), {}), F.lit(False)))
         later: dict = {}
         for e, n in outputs:  # an expression may use the names before it
             df = df.withColumn("o_" + n, planner.value(_resolve(e, grouped), later))
             later[n] = F.col("o_" + n)
+        for e in having:
+            df = df.filter(F.coalesce(planner.truthy(_resolve(e, grouped), later), F.lit(False)))
         sorts = [(planner.value(_resolve(e, grouped), later), d) for e, d in order]
     else:
         extended = dict(scope)
