@@ -75,13 +75,14 @@ def schedule(rows: DataFrame, target_entropy: float = TARGET_ENTROPY, max_repeat
         return F.pow(F.array_max(ps) / F.array_min(ps), k / F.lit(float(GRID))) <= max_repeat + 1e-9
 
     k = F.greatest(_bisect(entropy_ok), F.lit(GRID) - _bisect(repeat_ok))
-    mix = shares.select(k.alias("k"), F.array_max(ps).alias("p_max"), _total(ps, lambda p: F.pow(p, k / F.lit(float(GRID)))).alias("z"), (F.lit(1.0) / F.array_max(ps)).alias("unit"))
-    total = sources.agg(F.sum("n").alias("total"))
-    one = mix.join(total)  # one row beside one row
+    mix = shares.select(k.alias("k"), F.array_max(ps).alias("p_max"), _total(ps, lambda p: F.pow(p, k / F.lit(float(GRID)))).alias("z"))
+    # figures of the whole mixture are scalars of a one-row query
+    whole = sources.agg(F.sum("n").alias("total"))
+    sources = sources.select("src", "n", mix.select("k").scalar().alias("k"), mix.select("p_max").scalar().alias("p_max"), mix.select("z").scalar().alias("z"), whole.scalar().alias("total"))
     a = F.col("k") / F.lit(float(GRID))
     p = F.col("n") / F.col("total")
     micro = F.when(F.col("n") > 0, F.floor(F.pow(F.col("p_max") / p, 1 - a) * 1_000_000 + 0.5)).otherwise(1_000_000).cast("bigint")
-    plan = sources.join(F.broadcast(one)).select("src", "n", micro.alias("micro"), (F.col("k") / F.lit(float(GRID))).alias("exponent"), F.when(F.col("n") > 0, F.pow(p, a) / F.col("z")).otherwise(0.0).alias("weight"))
+    plan = sources.select("src", "n", micro.alias("micro"), a.alias("exponent"), F.when(F.col("n") > 0, F.pow(p, a) / F.col("z")).otherwise(0.0).alias("weight"))
     passes = plan.withColumn("pass", F.explode(F.sequence(F.lit(0), F.expr("cast(micro div 1000000 as int)"))))
     put = cells.join(passes, "src").withColumn("order", F.md5(F.concat_ws("|", F.lit(seed), "src", F.col("pass").cast("string"), F.col("block").cast("string"))))
     w = Window.partitionBy("src", "pass").orderBy("order", "block")
