@@ -7,6 +7,7 @@ collections; triples without one have degree 1.
 from __future__ import annotations
 
 import re
+from functools import reduce
 from urllib.parse import urljoin
 
 from pyspark.sql import DataFrame, SparkSession
@@ -223,12 +224,16 @@ def from_table(df: DataFrame, graph: str, subject: str, base: str, properties: d
     """Triples of a table: one subject IRI per row (base + key), one predicate per property.
 
     properties: {predicate name: (column, None for an IRI of another base, or a datatype)};
-    ("column", "iri:<base>") makes an IRI object.  truth: Column with the degree."""
-    parts = []
+    ("column", "iri:<base>") makes an IRI object.  truth: Column with the degree.
+
+    Every property is a branch of a union with a constant predicate, so a pattern with
+    a constant predicate scans that branch alone, and of its table two columns."""
     s = terms.iri(F.concat(F.lit(base), F.col(subject).cast("string")))
+    degree = (F.lit(1.0) if truth is None else truth).cast("float")
+    parts = []
     for name, (column, kind) in properties.items():
         c = F.col(column).cast("string")
         o = terms.iri(F.concat(F.lit(kind[4:]), c)) if kind.startswith("iri:") else terms.literal(c, kind)
-        parts.append(F.struct(terms.iri(name).alias("p"), o.alias("o")))
-    degree = (F.lit(1.0) if truth is None else truth).cast("float")
-    return df.select(s.alias("s"), F.explode(F.array(*parts)).alias("e"), degree.alias("truth")).filter("s is not null and e.o is not null").select(F.lit(graph).alias("g"), "s", "e.p", "e.o", "truth")
+        kept = df.filter(F.col(subject).isNotNull() & F.col(column).isNotNull())
+        parts.append(kept.select(F.lit(graph).alias("g"), s.alias("s"), terms.iri(name).alias("p"), o.alias("o"), degree.alias("truth")))
+    return reduce(DataFrame.unionByName, parts)
