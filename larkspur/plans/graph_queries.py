@@ -76,7 +76,7 @@ sparql("sparql_filter", "SELECT ?n ?k { ?n ex:key ?k . FILTER(?k >= 5 && ?k < 9.
 sparql("sparql_filter_functions", 'SELECT ?n { ?n ex:name ?x . FILTER(STRSTARTS(?x, "I") && !BOUND(?z)) }', f"SELECT {iri('n', 'n_nationkey')} AS n FROM nation WHERE n_name LIKE 'I%'")
 sparql("sparql_union", "SELECT ?x ?v { { ?x ex:name ?v } UNION { ?x ex:label ?v } }", f"SELECT {iri('n', 'n_nationkey')} AS x, {lit('n_name')} AS v FROM nation UNION ALL SELECT {iri('r', 'r_regionkey')}, {lit('r_name')} FROM region")
 sparql("sparql_union_disjoint", "SELECT ?a ?b { { ?a ex:in ex:r0 } UNION { ?b ex:label ?l } }", f"SELECT {iri('n', 'n_nationkey')} AS a, NULL AS b FROM nation WHERE n_regionkey = 0 UNION ALL SELECT NULL, {iri('r', 'r_regionkey')} FROM region")
-sparql("sparql_bind", "SELECT ?n ?twice ?bad { ?n ex:key ?k . ?n ex:name ?x . BIND(?k * 2 + 1 AS ?twice) BIND(?x / 2 AS ?bad) }", f"SELECT {iri('n', 'n_nationkey')} AS n, {num('(n_nationkey * 2 + 1)')} AS twice, NULL AS bad FROM nation")
+sparql("sparql_bind", "SELECT ?n ?twice ?bad { ?n ex:key ?k . ?n ex:name ?x . BIND(?k * 2 + 1 AS ?twice) BIND(?x / 2 AS ?bad) }", f"SELECT {iri('n', 'n_nationkey')} AS n, {num('(n_nationkey * 2 + 1)')} AS twice, CAST(NULL AS VARCHAR) AS bad FROM nation")
 sparql("sparql_bind_str_cast", "SELECT ?n ?t ?f { ?n ex:key ?k . BIND(STR(?k) AS ?t) BIND(xsd:int(?t) AS ?f) }", f"SELECT {iri('n', 'n_nationkey')} AS n, {lit('n_nationkey')} AS t, {num('n_nationkey', 'int')} AS f FROM nation")
 sparql("sparql_group", "SELECT ?r ?n { ?r ex:label ?l . { ?n ex:in ?r . ?n ex:key ?k . FILTER(?k < 10) } }", f"SELECT {iri('r', 'n_regionkey')} AS r, {iri('n', 'n_nationkey')} AS n FROM nation WHERE n_nationkey < 10")
 sparql(
@@ -91,8 +91,8 @@ sparql(
     f"SELECT {iri('r', 'n_regionkey')} AS r, {num('count(*)')} AS c, {num('sum(n_nationkey)')} AS s, {num('min(n_nationkey)', 'int')} AS lo, {num('max(n_nationkey)', 'int')} AS hi FROM nation GROUP BY n_regionkey",
 )
 sparql("sparql_count_distinct", "SELECT (COUNT(DISTINCT ?r) AS ?c) (COUNT(*) AS ?all) { ?n ex:in ?r }", f"SELECT {num('count(DISTINCT n_regionkey)')} AS c, {num('count(*)')} AS \"all\" FROM nation")
-sparql("sparql_sum_error", "SELECT (SUM(?x) AS ?s) (COUNT(?x) AS ?c) { ?n ex:name ?x }", f"SELECT NULL AS s, {num('count(*)')} AS c FROM nation")
-sparql("sparql_empty_aggregate", "SELECT (COUNT(*) AS ?c) (SUM(?k) AS ?s) (MIN(?k) AS ?m) (GROUP_CONCAT(?k) AS ?g) { ?n ex:nothing ?k }", f"SELECT {num(chr(39) + '0' + chr(39))} AS c, {num(chr(39) + '0' + chr(39))} AS s, NULL AS m, '\"\"' AS g")
+sparql("sparql_sum_error", "SELECT (SUM(?x) AS ?s) (COUNT(?x) AS ?c) { ?n ex:name ?x }", f"SELECT CAST(NULL AS VARCHAR) AS s, {num('count(*)')} AS c FROM nation")
+sparql("sparql_empty_aggregate", "SELECT (COUNT(*) AS ?c) (SUM(?k) AS ?s) (MIN(?k) AS ?m) (GROUP_CONCAT(?k) AS ?g) { ?n ex:nothing ?k }", f"SELECT {num(chr(39) + '0' + chr(39))} AS c, {num(chr(39) + '0' + chr(39))} AS s, CAST(NULL AS VARCHAR) AS m, '\"\"' AS g")
 sparql("sparql_group_concat", 'SELECT ?r (GROUP_CONCAT(?x; SEPARATOR="|") AS ?g) { ?n ex:in ?r . ?n ex:name ?x } GROUP BY ?r', f"SELECT {iri('r', 'n_regionkey')} AS r, {lit(chr(34) + 'g' + chr(34))} AS g FROM (SELECT n_regionkey, string_agg(n_name, '|' ORDER BY n_name) AS g FROM nation GROUP BY n_regionkey)")
 sparql("sparql_having", "SELECT ?n { ?s ex:of ?n } GROUP BY ?n HAVING(COUNT(?s) > 4)", f"SELECT {iri('n', 's_nationkey')} AS n FROM supplier GROUP BY s_nationkey HAVING count(*) > 4")
 sparql("sparql_group_expr", "SELECT ?h (COUNT(*) AS ?c) { ?n ex:key ?k . ?n ex:in ?r } GROUP BY (?k * 0 AS ?h)", f"SELECT {num(chr(39) + '0' + chr(39))} AS h, {num('count(*)')} AS c FROM nation")

@@ -32,8 +32,12 @@ def engine(spark, sf_dir, text: str) -> Engine:
     return e
 
 
-def dialect(name, text, sql=None):
-    """Adds a query in the SQL dialect; sql is its oracle where DuckDB words it otherwise."""
+def dialect(name, text, sql=None, types=None):
+    """Adds a query in the SQL dialect; sql is its oracle where DuckDB words it otherwise,
+    types the casts of columns whose integers DuckDB makes wider."""
+    if types:
+        casts = ", ".join(f"CAST({c} AS {t}) AS {c}" for c, t in types.items())
+        sql = f"SELECT * REPLACE ({casts}) FROM ({sql or text})"
 
     def run(spark, sf_dir):
         return engine(spark, sf_dir, text).sql(text)

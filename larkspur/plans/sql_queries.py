@@ -70,6 +70,7 @@ dialect(
             AND n1.n_nationkey < 3 AND n2.n_nationkey < 3 AND n1.n_nationkey <> n2.n_nationkey) AS shipping
     GROUP BY supp_nation, cust_nation, l_year ORDER BY supp_nation, cust_nation, l_year
     """,
+    types={"l_year": "INTEGER"},
 )
 dialect(
     "tpch_q10",
@@ -98,6 +99,7 @@ dialect(
     FROM orders, lineitem WHERE o_orderkey = l_orderkey AND l_returnflag IN ('A', 'R')
     GROUP BY l_linestatus ORDER BY l_linestatus
     """,
+    types={"high_line_count": "BIGINT", "low_line_count": "BIGINT"},
 )
 dialect(
     "tpch_q13",
@@ -221,17 +223,17 @@ dialect("subquery_non_equi", "SELECT n_nationkey, (SELECT count(*) FROM region W
 
 dialect("agg_basic", "SELECT l_returnflag, count(*) AS n, count(l_tax) AS nt, min(l_quantity) AS lo, max(l_quantity) AS hi, round(avg(l_discount), 8) AS mean FROM lineitem GROUP BY l_returnflag")
 dialect("agg_no_keys_empty", "SELECT count(*) AS n, sum(l_quantity) AS s, min(l_orderkey) AS m FROM lineitem WHERE l_quantity < 0")
-dialect("agg_distinct", "SELECT l_linestatus, count(DISTINCT l_suppkey) AS ns, count(DISTINCT l_partkey) AS np, sum(DISTINCT l_linenumber) AS sl FROM lineitem GROUP BY l_linestatus")
+dialect("agg_distinct", "SELECT l_linestatus, count(DISTINCT l_suppkey) AS ns, count(DISTINCT l_partkey) AS np, sum(DISTINCT l_linenumber) AS sl FROM lineitem GROUP BY l_linestatus", types={"sl": "BIGINT"})
 dialect("agg_stddev", "SELECT l_returnflag, round(stddev_samp(l_quantity), 6) AS sd, round(var_samp(l_quantity), 5) AS vs FROM lineitem GROUP BY l_returnflag")
 dialect("agg_group_expression", "SELECT abs(o_custkey % 7 - 3) AS bucket, count(*) AS n FROM orders GROUP BY abs(o_custkey % 7 - 3)")
 dialect("agg_null_group", "SELECT o.o_orderpriority AS p, count(*) AS n FROM customer LEFT OUTER JOIN orders o ON c_custkey = o_custkey AND o_totalprice > 300000 GROUP BY o.o_orderpriority")
-dialect("rollup_grouping", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_quantity), 6) AS a, grouping(l_returnflag) AS g1, grouping(l_linestatus) AS g2 FROM lineitem GROUP BY ROLLUP(l_returnflag, l_linestatus)")
+dialect("rollup_grouping", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_quantity), 6) AS a, grouping(l_returnflag) AS g1, grouping(l_linestatus) AS g2 FROM lineitem GROUP BY ROLLUP(l_returnflag, l_linestatus)", types={"g1": "TINYINT", "g2": "TINYINT"})
 dialect("having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 15")
 
 # -- windows
 
-dialect("win_rank", "SELECT s_suppkey, rank() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC) AS r FROM supplier")
-dialect("win_row_number", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders")
+dialect("win_rank", "SELECT s_suppkey, rank() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC) AS r FROM supplier", types={"r": "INTEGER"})
+dialect("win_row_number", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders", types={"rn": "INTEGER"})
 dialect(
     "win_running_sum_rows",
     "SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), 2) AS run FROM orders",
@@ -242,6 +244,7 @@ dialect("win_partition_total", "SELECT s_suppkey, count(*) OVER (PARTITION BY s_
 dialect(
     "win_over_aggregate",
     "SELECT o_orderpriority, o_orderstatus, count(*) AS n, sum(count(*)) OVER (PARTITION BY o_orderpriority) AS total FROM orders GROUP BY o_orderpriority, o_orderstatus",
+    types={"total": "BIGINT"},
 )
 
 # -- order, limit, sets
@@ -278,7 +281,7 @@ dialect(
     "SELECT c_custkey, substring(c_name, -1, 4) AS a, substr(c_name, 3, 5) AS b, substring(c_name FROM 5) AS c FROM customer",
     "SELECT c_custkey, substring(c_name, 1, 2) AS a, substr(c_name, 3, 5) AS b, substring(c_name, 5) AS c FROM customer",
 )
-dialect("fn_string", "SELECT p_partkey, upper(p_name) AS u, length(p_type) AS n, p_brand || '/' || p_type AS j FROM part")
+dialect("fn_string", "SELECT p_partkey, upper(p_name) AS u, length(p_type) AS n, p_brand || '/' || p_type AS j FROM part", types={"n": "INTEGER"})
 dialect("fn_regexp_replace", r"SELECT c_custkey, regexp_replace(c_name, '([A-Za-z]+)#', '<\1>') AS r FROM customer", r"SELECT c_custkey, regexp_replace(c_name, '([A-Za-z]+)#', '<\1>') AS r FROM customer")
 dialect("fn_math", "SELECT c_custkey, round(c_acctbal, 1) AS r, abs(c_acctbal) AS a FROM customer")
 dialect("fn_extract", "SELECT o_orderkey, EXTRACT(year FROM o_orderdate) AS y, EXTRACT(month FROM o_orderdate) AS m, EXTRACT(day FROM o_orderdate) AS d FROM orders", "SELECT o_orderkey, CAST(EXTRACT(year FROM o_orderdate) AS INTEGER) AS y, CAST(EXTRACT(month FROM o_orderdate) AS INTEGER) AS m, CAST(EXTRACT(day FROM o_orderdate) AS INTEGER) AS d FROM orders")
