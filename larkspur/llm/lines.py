@@ -158,14 +158,18 @@ def other_pairs(sets: DataFrame, later: DataFrame, t: float) -> DataFrame:
     return left.join(right, on).select(F.col("l.id").alias("x"), F.col("r.id").alias("y")).distinct()
 
 
-def verified(docs: DataFrame, pairs: DataFrame, t: float, ids: Ids) -> DataFrame:
-    """Ids x of pairs(x, y) whose lines have similarity t or more, by their whole token sets."""
+def token_sets(docs: DataFrame, pairs: DataFrame, ids: Ids) -> DataFrame:
+    """(id, h): the whole token sets of the lines in pairs(x, y)."""
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
     d, k = ids.unpack(F.col("id"))
     by_doc = wanted.select(d.alias("d"), k.alias("k"), "id").groupBy("d").agg(F.collect_list(F.struct("k", "id")).alias("ks"))
     text = docs.select(ids.doc(F.col("doc_id")).alias("d"), "text")
     sets = text.join(by_doc, "d").select("ks", F.split("text", "\n").alias("lines")).select(F.explode("ks").alias("e"), "lines")
-    sets = sets.select("e.id", F.get("lines", F.col("e.k")).alias("line")).filter("line is not null").select("id", hashes("line").alias("h"))
+    return sets.select("e.id", F.get("lines", F.col("e.k")).alias("line")).filter("line is not null").select("id", hashes("line").alias("h"))
+
+
+def verified(sets: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
+    """Ids x of pairs(x, y) whose lines have similarity t or more."""
     left = pairs.join(sets.withColumnRenamed("id", "x").withColumnRenamed("h", "hx"), "x")
     both = left.join(sets.withColumnRenamed("id", "y").withColumnRenamed("h", "hy"), "y")
     shared = F.size(F.array_intersect("hx", "hy"))
@@ -173,14 +177,16 @@ def verified(docs: DataFrame, pairs: DataFrame, t: float, ids: Ids) -> DataFrame
 
 
 def settled(docs: DataFrame, pairs: DataFrame, t: float, ids: Ids) -> DataFrame:
-    """Ids x of pairs(x, y) with a verified match: one is enough, so the first y is tried before the others."""
+    """Ids x of pairs(x, y) with a verified match: one is enough, so the first y is tried before the others.
+
+    The texts are shuffled once, for the token sets of all lines in pairs."""
+    sets = keep(token_sets(docs, pairs, ids), "line-tokens")
     one = pairs.groupBy("x").agg(F.min("y").alias("y"))
-    got = keep(verified(docs, one, t, ids), "line-later")
-    rest = keep(pairs.join(got.withColumnRenamed("id", "x"), "x", "left_anti").join(one, ["x", "y"], "left_anti"), "line-pairs")
-    if not rest.isEmpty():
-        got = got.unionByName(keep(verified(docs, rest, t, ids), "line-later")).distinct()
-    forget(rest)
-    return got
+    got = keep(verified(sets, one, t), "line-later")
+    rest = pairs.join(got.withColumnRenamed("id", "x"), "x", "left_anti").join(one, ["x", "y"], "left_anti")
+    more = keep(verified(sets, rest, t), "line-later")
+    forget(sets)
+    return got.unionByName(more).distinct()
 
 
 def repeated_lines(docs: DataFrame, t: float, ids: Ids) -> tuple[DataFrame, DataFrame]:

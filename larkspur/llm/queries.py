@@ -53,7 +53,7 @@ def op2(spark, sf_dir):
     "op5_temperature_mixing",
     f"""
     WITH docs AS (SELECT doc_id, text, source FROM documents), {mixing.SQL}
-    SELECT d.doc_id, d.source, d.tokens AS mix_tokens, c.pass AS mix_pass, d.block AS mix_block,
+    SELECT d.doc_id, d.source, d.tokens AS mix_tokens, CAST(c.pass AS INTEGER) AS mix_pass, d.block AS mix_block,
            c.block_rank AS mix_rank, c.exponent AS mix_exponent
     FROM docs_t d JOIN chosen c USING (src, block)
     """,
