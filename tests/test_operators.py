@@ -62,3 +62,18 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0 and set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_builtin_graphs(spark):
+    assert pg.triangles(pg.builtin(spark, "standard")).count() == 2
+    t = pg.builtin(spark, "propertygraph")
+    assert (pg.node_count(t).first()[0], pg.edge_count(t).first()[0], pg.properties(t).count()) == (3, 2, 3)
+    assert pg.node_count(pg.empty(spark)).first()[0] == 0
+
+
+def test_expansions(spark):
+    t = pg.builtin(spark, "propertygraph")
+    start = pg.identifier(t, "http://example.org/b").withColumnRenamed("node", "n")
+    assert [r["other"]["lex"][-1] for r in pg.node_expansion(start, t, "n").collect()] == ["c"]
+    assert [r["other"]["lex"][-1] for r in pg.node_expansion(start, t, "n", outgoing=False).collect()] == ["a"]
+    assert sorted(r["node"]["lex"][-1] for r in pg.edge_expansion(pg.edges(t), to=False).collect()) == ["a", "b"]
