@@ -169,3 +169,27 @@ def scan(docs: DataFrame, phrases: dict = PHRASES, templates: dict = TEMPLATES,
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds_, strict=True)], names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "n_blocks"])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(scanned, SCHEMA)
+
+
+def oracle_sql(phrases: dict = PHRASES, templates: dict = TEMPLATES, threshold: float = THRESHOLD) -> str:
+    """The scan in DuckDB SQL over "documents": phrases by place, containment by whole sets."""
+    pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    places = []
+    for phrase, label in phrases.items():
+        tests = " AND ".join(f"ws[i + {k}] = '{w}'" for k, w in enumerate(phrase.split()))
+        places.append(f"SELECT rid, '{label}' AS label, i - 1 AS place FROM (SELECT rid, ws, unnest(range(1, len(ws) + 1)) AS i FROM d) WHERE {tests}")
+    kinds = ", ".join(f"('{label}', {sorted(set(t.split()))})" for label, t in templates.items())
+    return f"""
+    WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {low} AS t, regexp_extract_all({low}, '{pattern}') AS ws FROM documents),
+    hits AS ({" UNION ALL ".join(places)}),
+    base AS (SELECT rid, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM hits GROUP BY rid),
+    templates AS (SELECT * FROM (VALUES {kinds}) x(label, words)),
+    blocks AS (SELECT rid, b, list_distinct(regexp_extract_all(line, '{pattern}')) AS own FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS b FROM d)),
+    contained AS (SELECT rid, b, label, len(list_intersect(own, words)) / len(words)::DOUBLE AS share FROM blocks, templates WHERE len(list_intersect(own, words)) >= ceil({threshold} * len(words) - 1e-9)),
+    more AS (SELECT rid, max(share) AS share, count(DISTINCT b) AS n_blocks FROM contained GROUP BY rid),
+    every AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM hits UNION SELECT rid, label FROM contained) GROUP BY rid)
+    SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+           coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0::DOUBLE) END AS score, coalesce(n_blocks, 0) AS n_blocks
+    FROM d LEFT JOIN base USING (rid) LEFT JOIN more USING (rid) LEFT JOIN every USING (rid)
+    """

@@ -39,9 +39,9 @@ def op8(spark, sf_dir):
     return scored.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
-@register("op9_license_scan")
+@register("op9_license_scan", licenses.oracle_sql())
 def op9(spark, sf_dir):
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(table(spark, sf_dir, "documents"))  # n_blocks: blocks that contain a template
 
 
 @register("op2_packing")
@@ -95,6 +95,19 @@ def op10(spark, sf_dir):
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 
-@register("op7_nn_descent")
+@register(
+    "op7_nn_descent",
+    """
+    WITH RECURSIVE v AS (
+      SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    links AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+    reach AS (SELECT vec_id AS x, vec_id AS y FROM embeddings UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x),
+    named AS (SELECT x, min(y) AS component_id FROM reach GROUP BY x)
+    SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+    FROM embeddings JOIN named ON x = vec_id LEFT JOIN (SELECT x, count(*) AS n FROM links GROUP BY x) l ON l.x = vec_id
+    """,
+)
 def op7(spark, sf_dir):
     return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))

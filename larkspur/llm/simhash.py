@@ -270,5 +270,8 @@ def keep_first(docs: DataFrame, most: int = DISTANCE, shingle: int = SHINGLE, se
     An id names one document: rows that repeat it share the decision.  Rows with a
     null id stay where their component has no other, equal texts once."""
     found = classes(docs, most, shingle, seed, segments)
-    first = keep(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct(), "first")
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "text"])
+    # a null-safe key of two columns, by which the rows are dealt once for the join and the grouping
+    key = lambda c: (F.coalesce(c, F.lit(0)).alias("_a"), c.isNull().alias("_b"))
+    first = keep(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*key(F.col("doc_id"))).distinct(), "first")
+    kept = docs.select("*", *key(F.col("doc_id").cast("bigint"))).join(first, ["_a", "_b"], "left_semi")
+    return kept.dropDuplicates(["_a", "_b", "text"]).select(*docs.columns)

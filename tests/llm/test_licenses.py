@@ -1,5 +1,7 @@
 import re
 
+from pyspark.sql import functions as F
+
 from larkspur.llm import licenses
 
 WORD = re.compile(b"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
@@ -32,7 +34,7 @@ TEXTS = [
 
 
 def test_matches_plain_search(spark, docs, corpus):
-    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string").withColumn("n_words", docs["doc_id"] * 0 if False else __import__("pyspark.sql.functions", fromlist=["lit"]).lit(5))
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string").withColumn("n_words", F.lit(5))
     got = {r["doc_id"]: r for r in licenses.scan(df).collect()}
     for i, t in enumerate(TEXTS):
         r = got[i]
@@ -59,3 +61,15 @@ def test_join_is_exact():
 
 def test_empty(empty):
     assert licenses.scan(empty).count() == 0
+
+
+def test_matches_sql(spark, sf):
+    import duckdb
+
+    from larkspur.llm import queries
+
+    got = queries.QUERIES["op9_license_scan"](spark, sf)
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = duckdb.sql(queries.ORACLE["op9_license_scan"])
+    order = [want.columns.index(c) for c in got.columns]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted((tuple(r[i] for i in order) for r in want.fetchall()), key=repr)
