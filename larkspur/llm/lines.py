@@ -153,7 +153,7 @@ def other_pairs(sets: DataFrame, later: DataFrame, t: float) -> DataFrame:
     rows = postings(known, t)
     left, right = rows.alias("l"), rows.alias("r")
     side = lambda s: {c: F.col(f"{s}.{c}") for c in ("n", "pos", "sig")}
-    open_ = F.col("l.done") < F.least(F.col("r.n"), F.lit(1))
+    open_ = F.col("l.done") * 2 <= F.col("r.done")  # l is open; both sides need the same columns
     on = (F.col("l.token") == F.col("r.token")) & (F.col("r.id") < F.col("l.id")) & open_ & possible(side("l"), side("r"), t)
     return left.join(right, on).select(F.col("l.id").alias("x"), F.col("r.id").alias("y")).distinct()
 
