@@ -14,13 +14,13 @@ BATCH_ROWS = 256
 SETTINGS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS),
     "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
-    # shuffle files of a finished job go at once: cut points below are tables
-    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }
+#: Set while a table is written: its job's shuffle files go at once, since nothing runs that plan again.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Sets the session options that bound worker memory and disk."""
+    """Sets the session options that bound worker memory."""
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
 
@@ -39,7 +39,12 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     lineage ends there, so a lost executor costs no more than the running job."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.kept_path = path
     return out
