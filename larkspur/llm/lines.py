@@ -27,6 +27,8 @@ table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,6 +41,8 @@ SKETCH_BITS = (16, 24)
 BACK = 2
 #: Count class (6 log2 of the count) from which on a token's group is salted.
 SALT_CLASS = 72
+#: Rounds in which postings are joined, each with the tokens of one hash part: a round's shuffle is what lies on disk.
+SLICES = 4
 
 
 def words(line):
@@ -124,19 +128,20 @@ def possible(x, y, t: float):
     )
 
 
-def postings(sets: DataFrame, t: float) -> DataFrame:
-    """(token, id, n, pos, sig and other columns of sets): the prefix tokens that another set may share."""
+def postings(sets: DataFrame, t: float, part: int) -> DataFrame:
+    """(token, id, n, pos, sig and other columns of sets): the prefix tokens of a part that another set may share."""
     small = t / (1 - t) - 1e-9  # sets of fewer tokens match equal ones only
     rows = sets.filter(F.col("n") >= small).select(*(c for c in sets.columns if c != "prefix"), F.posexplode("prefix").alias("pos", "token"))
+    rows = rows.filter(F.col("token").bitwiseAND(F.lit(SLICES - 1)) == part)
     return rows.filter(F.shiftrightunsigned("token", 56) > 6)  # a bucket counted once holds a token that stands nowhere else
 
 
-def first_pairs(sets: DataFrame, t: float) -> DataFrame:
+def first_pairs(sets: DataFrame, t: float, part: int) -> DataFrame:
     """(x, y): each line with those it may match of the first line of its token's group and its last predecessors.
 
     Groups of frequent tokens are salted by what the sketch says of them."""
     salts = F.call_function("shiftleft", F.lit(1), F.greatest(F.lit(0), F.floor((F.shiftrightunsigned("token", 56) - SALT_CLASS) / 6)).cast("int"))
-    rows = postings(sets, t).withColumn("cell", F.pmod(F.xxhash64("id"), salts).cast("int"))
+    rows = postings(sets, t, part).withColumn("cell", F.pmod(F.xxhash64("id"), salts).cast("int"))
     by = Window.partitionBy("token", "cell").orderBy("id")
     me = F.struct("id", "n", "pos", "sig")
     rows = rows.withColumn("near", F.array(F.first(me).over(by), *(F.lag(me, i).over(by) for i in range(1, BACK + 1))))
@@ -145,12 +150,11 @@ def first_pairs(sets: DataFrame, t: float) -> DataFrame:
     return rows.select("id", F.explode(F.transform(ok, lambda y: y["id"])).alias("y")).select(F.col("id").alias("x"), "y").distinct()
 
 
-def other_pairs(sets: DataFrame, later: DataFrame, t: float) -> DataFrame:
-    """(x, y): lines not settled yet with every earlier line they may match.
+def other_pairs(known: DataFrame, t: float, part: int) -> DataFrame:
+    """(x, y): lines not settled yet (done = 0) with every earlier line they may match.
 
     Both sides are one exchange: whether x is settled is asked in the join, not before it."""
-    known = sets.join(later.withColumn("done", F.lit(1)), "id", "left").select("id", "n", "sig", "prefix", F.coalesce("done", F.lit(0)).alias("done"))
-    rows = postings(known, t)
+    rows = postings(known, t, part)
     left, right = rows.alias("l"), rows.alias("r")
     side = lambda s: {c: F.col(f"{s}.{c}") for c in ("n", "pos", "sig")}
     open_ = F.col("l.done") * 2 <= F.col("r.done")  # l is open; both sides need the same columns
@@ -192,14 +196,15 @@ def settled(docs: DataFrame, pairs: DataFrame, t: float, ids: Ids) -> DataFrame:
 def repeated_lines(docs: DataFrame, t: float, ids: Ids) -> tuple[DataFrame, DataFrame]:
     """(first, later): ids of the first lines of all token sets, and those among them with an earlier match."""
     sets = keep(line_sets(docs, t, ids), "line-sets")
-    pairs = keep(first_pairs(sets, t), "line-pairs")
-    later = settled(docs, pairs, t, ids)
-    rest = keep(other_pairs(sets, later, t), "line-pairs")
-    first = keep(sets.select("id"), "line-first")
+    pairs = [keep(first_pairs(sets, t, i), "line-pairs") for i in range(SLICES)]
+    later = settled(docs, reduce(DataFrame.unionByName, pairs), t, ids)
+    known = sets.join(later.withColumn("done", F.lit(1)), "id", "left").select("id", "n", "sig", "prefix", F.coalesce("done", F.lit(0)).alias("done"))
+    known = keep(known, "line-known")
     forget(sets)
-    forget(pairs)
-    more = settled(docs, rest, t, ids)
-    forget(rest)
+    pairs = [keep(other_pairs(known, t, i), "line-pairs") for i in range(SLICES)]
+    first = keep(known.select("id"), "line-first")
+    forget(known)
+    more = settled(docs, reduce(DataFrame.unionByName, pairs), t, ids)
     return first, later.unionByName(more).distinct()
 
 
