@@ -20,6 +20,11 @@ and is linked like any other; a text with fewer words than a shingle is one
 shingle; null ids take part but name no component (a component of null ids only
 has a null id); repeated rows share fingerprint and component; texts are read
 whole, in pieces; columns beside doc_id and text are ignored.
+
+A fingerprint tells a similarity only roughly, so the pipeline links by the shingle
+sets themselves (``similar``): a join of the sets' least hashes finds every pair that
+can reach SIMILAR, and each is verified on the whole sets of hashes.  There texts
+without words are one node and link with nothing else.
 """
 
 from __future__ import annotations
@@ -32,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, keep, prepare
+from .common import components, forget, keep, prepare
 
 BITS = 64
 DISTANCE = 2
@@ -43,6 +48,10 @@ LEAF, FAN = 16, 8
 #: Rows of a group that one task searches; larger groups are cut into tiles.
 GROUP_ROWS = 20_000
 PIECE = 1 << 20
+#: Similarity of shingle sets at which texts are near-duplicates, as a fraction; a pair is compared
+#: if it shares one of its first hashes for every COMMON of them, and one more.
+SIMILAR = (4, 5)
+COMMON = 25
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
@@ -59,26 +68,31 @@ def _pieces(data: bytes):
         at = end
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """Bit b is set if it is set in over half of the shingle hashes; 0 without words."""
+def _shingles(text: str | None, shingle: int, seed: int):
+    """Lists of the hashes of a text's word shingles, piece by piece; nothing without words."""
     from xxhash import xxh64_intdigest as xxh
 
-    ones, n, last = np.zeros(BITS, np.int64), 0, []
+    some, last = False, []
     for piece in _pieces((text or "").encode().lower()):
         words = last + piece.split()
         line = b" ".join(words)
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
         starts = np.concatenate([[0], ends[:-1]])
         k = max(0, len(words) - shingle + 1)
-        hashes = [xxh(line[i : j - 1], seed) for i, j in zip(starts[:k].tolist(), ends[shingle - 1 :].tolist(), strict=True)] if k else []
-        if hashes:
-            raw = np.array(hashes, ">u8").view(np.uint8)
-            ones += np.unpackbits(raw).reshape(-1, BITS).sum(0, dtype=np.int64)
-            n += k
+        if k:
+            some = True
+            yield [xxh(line[i : j - 1], seed) for i, j in zip(starts[:k].tolist(), ends[shingle - 1 :].tolist(), strict=True)]
         last = words[max(0, len(words) - shingle + 1) :]
-    if not n and last:
-        ones += np.unpackbits(np.array([xxh(b" ".join(last), seed)], ">u8").view(np.uint8))
-        n = 1
+    if not some and last:
+        yield [xxh(b" ".join(last), seed)]
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
+    """Bit b is set if it is set in over half of the shingle hashes; 0 without words."""
+    ones, n = np.zeros(BITS, np.int64), 0
+    for hashes in _shingles(text, shingle, seed):
+        ones += np.unpackbits(np.array(hashes, ">u8").view(np.uint8)).reshape(-1, BITS).sum(0, dtype=np.int64)
+        n += len(hashes)
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
@@ -264,12 +278,77 @@ def classes(docs: DataFrame, most: int = DISTANCE, shingle: int = SHINGLE, seed:
     return prints.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def shingle_set(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The distinct shingle hashes of a text in order, as signed longs."""
+    parts = [np.array(h, np.uint64).view(np.int64) for h in _shingles(text, shingle, seed)]
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+
+
+def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """(doc_id, node, n, hashes) of every row; node is a hash of the set, so that equal sets are one node."""
+    prepare(docs.sparkSession)
+
+    def hashed(batches):
+        from xxhash import xxh64_intdigest as xxh
+
+        for b in batches:
+            sets = [shingle_set(t, shingle, seed) for t in b.column(1).to_pylist()]
+            node = np.array([xxh(s.tobytes(), seed) for s in sets], np.uint64).view(np.int64)
+            size = np.array([len(s) for s in sets], np.int64)
+            flat = np.concatenate([np.zeros(0, np.int64), *sets])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], size.cumsum()]), pa.int32()), pa.array(flat, pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node), pa.array(size), lists], names=["doc_id", "node", "n", "hashes"])
+
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(hashed, "doc_id bigint, node bigint, n bigint, hashes array<bigint>")
+
+
+def similar_links(sets: DataFrame) -> DataFrame:
+    """(a, b) for all pairs of nodes whose sets have a Jaccard similarity of SIMILAR at least.
+
+    Exact.  A pair shares ceil(t n) hashes at least, so of the least n - ceil(t n) + l hashes of
+    each (l = n // COMMON + 1, of the smaller set) they share l; pairs of fitting sizes that do
+    are compared on the whole sets."""
+    up, down = SIMILAR
+    # one row per node: rows of a node have the same set
+    size = F.expr(f"(n * {up} + {down - 1}) div {down}")
+    common = F.expr(f"n div {COMMON} + 1")
+    head = F.slice("hashes", F.lit(1), (F.col("n") - size + common).cast("int"))
+    heads = sets.filter("n > 0").select("node", "n", head.alias("head")).groupBy("node").agg(F.first("n").alias("n"), F.first("head").alias("head"))
+    postings = heads.select("node", "n", F.explode("head").alias("h")).repartition("h")
+    x, y = postings.toDF("a", "na", "h"), postings.toDF("b", "nb", "h")
+    fits = (F.col("a") != F.col("b")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (F.col("na") * down >= F.col("nb") * up)
+    met = x.join(y, "h").filter(fits).groupBy("a", "b").agg(F.count("*").alias("met"), F.first("na").alias("n"))
+    pairs = keep(met.filter(F.col("met") >= common).select("a", "b"), "pairs")
+    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    whole = keep(sets.join(asked, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")), "asked")
+    both = pairs.join(whole.toDF("a", "x"), "a").join(whole.toDF("b", "y"), "b")
+    shared = both.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("s"))
+    return shared.filter(F.col("s") * down >= (F.col("n") - F.col("s")) * up).select("a", "b")
+
+
+def similar(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """doc_id and component_id of every row of docs, linked where shingle sets have a similarity of SIMILAR."""
+    sets = keep(shingle_sets(docs, shingle, seed), "sets")
+    found = components(keep(similar_links(sets), "links"))
+    least = sets.groupBy("node").agg(F.min("doc_id").alias("least"))
+    joined = keep(least.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("c")), "nodes")
+    names = joined.groupBy("c").agg(F.min("least").alias("component_id"))
+    out = keep(sets.select("doc_id", "node").join(joined.join(names, "c").select("node", "component_id"), "node").select("doc_id", "component_id"), "similar")
+    for table in (sets, joined):
+        forget(table)
+    return out
+
+
 def keep_first(docs: DataFrame, most: int = DISTANCE, shingle: int = SHINGLE, seed: int = SEED, segments: int | None = None) -> DataFrame:
-    """Rows of docs that are the first (least doc_id) of their component, one of equal rows.
+    """Rows of docs that are the first of their component of near fingerprints."""
+    return first_rows(docs, classes(docs, most, shingle, seed, segments))
+
+
+def first_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Rows of docs that are the first (least doc_id) of their component in found, one of equal rows.
 
     An id names one document: rows that repeat it share the decision.  Rows with a
     null id stay where their component has no other, equal texts once."""
-    found = classes(docs, most, shingle, seed, segments)
     # a null-safe key of two columns, by which the rows are dealt once for the join and the grouping
     key = lambda c: (F.coalesce(c, F.lit(0)).alias("_a"), c.isNull().alias("_b"))
     first = keep(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*key(F.col("doc_id"))).distinct(), "first")

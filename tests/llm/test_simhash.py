@@ -88,3 +88,52 @@ def test_keep_first_and_empty(docs, corpus, empty):
     kept = [r["doc_id"] for r in simhash.keep_first(docs).collect()]
     assert len(kept) == len(set(kept)) and 0 in kept and not set(kept) & set(range(60, 80))
     assert simhash.classes(empty).count() == 0
+
+
+def jaccard(a, b, k=5):
+    def grams(text):
+        words = (text or "").lower().split()
+        return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} or ({tuple(words)} if words else set())
+
+    x, y = grams(a), grams(b)
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_similar_finds_every_pair_and_no_other(spark):
+    """Edited copies on both sides of 0.8: components equal those of brute force over all pairs."""
+    import random
+
+    rng = random.Random(11)
+    rows = []
+    for i in range(60):
+        words = [f"w{rng.randrange(900)}" for _ in range(rng.choice([3, 8, 40, 150, 400]))]
+        rows.append((len(rows), " ".join(words)))
+        for _ in range(3):
+            copy = list(words)
+            for _ in range(rng.randint(1, max(1, len(words) // 25))):
+                copy[rng.randrange(len(copy))] = f"e{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(len(rows), None), (len(rows) + 1, "  "), (len(rows) + 2, rows[0][1].upper())]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if jaccard(rows[i][1], rows[j][1]) >= 0.8]
+    for i, j in pairs:
+        root[max(find(i), find(j))] = min(find(i), find(j))
+    got = dict(map(tuple, simhash.similar(spark.createDataFrame(rows, "doc_id bigint, text string"), 5).collect()))
+    recall = sum(got[i] == got[j] for i, j in pairs) / len(pairs)
+    assert recall == 1.0 and len(pairs) > 40
+    assert got == {i: find(i) for i in range(len(rows))}
+
+
+def test_pipeline_stage_keeps_what_is_less_similar(spark):
+    import corpus_pipeline
+
+    rows = [(1, " ".join(f"a{i}" for i in range(100))), (2, " ".join(f"a{i}" for i in range(90)) + " x" * 10), (3, " ".join(f"a{i}" for i in range(70)) + " y z" * 15)]
+    assert 0.8 < jaccard(rows[0][1], rows[1][1]) < 0.9 and jaccard(rows[0][1], rows[2][1]) < 0.8
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 3]
