@@ -5,9 +5,14 @@ random hyperplane codes: nodes of one code, in chunks of bounded size, compare
 with each other.  Then the graph is refined: at every node its neighbours and a
 bounded number of reverse neighbours meet and are compared, and what is closer
 than a list's last entry enters the list.  Lists in which every entry reaches the
-threshold are saturated and grow for the next round.  After each round a sample
-of nodes is held against all vectors; rounds end when the audit finds RECALL of
-their links inside components, or nothing changes.
+threshold are saturated and grow for the next round.  Rounds end when they add hardly
+a link.  Then sampled nodes are held against all vectors, more of them until enough
+with few links are seen; the recall is a mean over nodes, apart for those with few and
+with many links, so that one large group does not hide lost pairs.  Below RECALL fresh
+tables join the graph and the rounds go on; if that does not help, an error is raised.
+The first graph has as many tables as let two vectors at the threshold meet with
+probability MEET, whatever the number of nodes (large codes are cut to chunks that
+overlap by half, which the probability leaves out).
 
 Edges at the threshold join nodes to components, and within each component all
 pairs are compared in double precision, in tiles of bounded size: that counts
@@ -34,11 +39,12 @@ from .simhash import forest
 THRESHOLD = 0.9
 #: Neighbours kept at first and at most, reverse neighbours that take part.
 LIST, LONGEST, REVERSE = 8, 64, 8
-#: Hyperplane tables of the first graph, nodes per code aimed at, nodes per chunk.
-TABLES, LEAF, CHUNK = 8, 48, 192
-MAX_ROUNDS = 8
-#: Audit: nodes compared with all, and the share of their links that ends the rounds.
-AUDIT, RECALL = 256, 0.98
+#: Probability that a pair at the threshold shares a code, nodes per code aimed at, nodes per chunk.
+MEET, LEAF, CHUNK = 0.99, 48, 192
+#: Rounds before an audit, share of new links that ends them, times that fresh tables are added.
+MAX_ROUNDS, SETTLED, EXTRA = 8, 0.001, 3
+#: Audit: nodes compared with all at first and at most, nodes with few links wanted, recall that is enough.
+AUDIT, AUDIT_MOST, ENOUGH, RECALL = 256, 4096, 64, 0.98
 #: Nodes of a component that one task compares with as many others.
 TILE = 2048
 SEED = 5
@@ -114,9 +120,16 @@ def _rows(out):
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, _list_types, strict=True)], names=["node", "nb", "sim"])
 
 
-def first_graph(nodes: DataFrame, n: int) -> DataFrame:
-    """Lists from chunks of nodes that share a hyperplane code in one of TABLES tables."""
+def tables_for(bits: int, threshold: float) -> int:
+    """Tables in which two vectors at the threshold share a code of bits hyperplanes with probability MEET."""
+    same = (1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi) ** bits
+    return 1 if same > 1 - 1e-12 else max(1, math.ceil(math.log(1 - MEET) / math.log1p(-same)))
+
+
+def first_graph(nodes: DataFrame, n: int, threshold: float, salt: int = 0) -> DataFrame:
+    """Lists from chunks of nodes that share a hyperplane code in one of the tables."""
     bits = max(0, math.ceil(math.log2(max(1, n / LEAF))))
+    tables = tables_for(bits, threshold)
 
     def coded(batches):
         for b in batches:
@@ -124,11 +137,11 @@ def first_graph(nodes: DataFrame, n: int) -> DataFrame:
             for d in np.unique(size).tolist():
                 own = b.filter(pa.array(size == d))
                 x = _matrix(own["v"])
-                rng = np.random.default_rng((SEED, d))
-                for t in range(TABLES):
+                rng = np.random.default_rng((SEED, d, salt))
+                for t in range(tables):
                     p = x @ rng.standard_normal((d, bits + 1))
                     code = (p[:, :bits] > 0) @ (1 << np.arange(bits, dtype=np.int64)) if bits else np.zeros(len(x), np.int64)
-                    key = (code * 131 + t) * 1009 + d
+                    key = (code * 4096 + t) * 65536 + d
                     yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(p[:, bits]), own["node"], own["v"]], names=["code", "at", "node", "v"])
 
     def compared(batches):
@@ -154,8 +167,8 @@ def merged(lists: DataFrame, lengths: DataFrame) -> DataFrame:
     return top.select("node", F.transform("all", lambda e: e["nb"]).alias("nb"), F.transform("all", lambda e: e["sim"]).alias("sim"), "k")
 
 
-def refine(nodes: DataFrame, graph: DataFrame, threshold: float) -> tuple[DataFrame, int]:
-    """One round: neighbours of neighbours are compared; returns the new graph and how many lists changed."""
+def refine(nodes: DataFrame, graph: DataFrame, threshold: float) -> DataFrame:
+    """One round: neighbours of neighbours are compared; returns the new graph."""
     full = (F.size("sim") >= F.col("k")) & (F.element_at("sim", -1) >= threshold)
     grown = graph.select("node", "nb", "sim", F.when(full & (F.size("sim") > 0), F.least(F.lit(LONGEST), F.col("k") * 2)).otherwise(F.col("k")).alias("k"))
     edges = grown.select(F.col("node").alias("u"), F.explode("nb").alias("v"))
@@ -182,36 +195,56 @@ def refine(nodes: DataFrame, graph: DataFrame, threshold: float) -> tuple[DataFr
         yield _rows(out)
 
     found = keep(sent.repartition("u").sortWithinPartitions("u").mapInArrow(local, _LISTS), "found")
-    changed = found.select("node").distinct().count()
     new = keep(merged(found.unionByName(grown.select("node", "nb", "sim")), grown.select("node", "k")), "graph")
     forget(found)
-    return new, changed
+    return new
+
 
+def link_count(graph: DataFrame, threshold: float) -> int:
+    """Entries of all lists that reach the threshold."""
+    return graph.agg(F.sum(F.size(F.filter("sim", lambda s: s >= threshold)))).first()[0] or 0
 
-def audit(nodes: DataFrame, label: DataFrame, threshold: float) -> float:
-    """Share of the links of AUDIT nodes, found by comparing them with all, that lie inside components."""
+
+def audit(nodes: DataFrame, label: DataFrame, threshold: float, n: int) -> tuple[float | None, int]:
+    """(recall, nodes with links seen): sampled nodes are compared with all, and of each the share of links inside
+    its component is taken.  The recall is the lower of the means over nodes of at most LIST links and of more;
+    None if no sampled node has a link."""
     asked = nodes.join(label, "node", "left").select("node", "v", F.coalesce("component", "node").alias("c"))
-    some = asked.orderBy(F.xxhash64("node", F.lit(SEED))).limit(AUDIT).collect()
+    size = AUDIT
+    while True:
+        seen = _audited(asked, threshold, size)
+        few = [i / k for k, i in seen if k <= LIST]
+        if len(few) >= ENOUGH or size >= min(n, AUDIT_MOST):
+            break
+        size = min(4 * size, AUDIT_MOST)
+    many = [i / k for k, i in seen if k > LIST]
+    return min((sum(x) / len(x) for x in (few, many) if x), default=None), len(seen)
+
+
+def _audited(asked: DataFrame, threshold: float, size: int) -> list:
+    """(links, links inside components) of those of size sampled nodes that have links."""
+    some = asked.orderBy(F.xxhash64("node", F.lit(SEED))).limit(size).collect()
     by: dict = {}
     for r in some:
         by.setdefault(len(r["v"]), []).append(r)
     by = {d: (np.array([r["node"] for r in x]), np.array([r["c"] for r in x]), _matrix(pa.array([r["v"] for r in x], pa.list_(pa.float64())))) for d, x in by.items()}
 
     def counted(batches):
-        links = inside = 0
+        total = {d: np.zeros((2, len(x[0])), np.int64) for d, x in by.items()}
         for b in batches:
-            size = b["v"].value_lengths().to_numpy(zero_copy_only=False)
-            for d in np.unique(size).tolist():
+            length = b["v"].value_lengths().to_numpy(zero_copy_only=False)
+            for d in np.unique(length).tolist():
                 if d in by:
-                    own = b.filter(pa.array(size == d))
+                    own = b.filter(pa.array(length == d))
                     ids, c, x = by[d]
                     near = (x @ _matrix(own["v"]).T >= threshold) & (ids[:, None] != own["node"].to_numpy()[None])
-                    links += int(near.sum())
-                    inside += int((near & (c[:, None] == own["c"].to_numpy()[None])).sum())
-        yield pa.RecordBatch.from_pydict({"links": [links], "inside": [inside]})
+                    total[d][0] += near.sum(1)
+                    total[d][1] += (near & (c[:, None] == own["c"].to_numpy()[None])).sum(1)
+        for d, (found, inside) in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array(x[found > 0]) for x in (by[d][0], found, inside)], names=["node", "links", "inside"])
 
-    r = asked.mapInArrow(counted, "links bigint, inside bigint").agg(F.sum("links").alias("links"), F.sum("inside").alias("inside")).first()
-    return r["inside"] / r["links"] if r["links"] else 1.0
+    rows = asked.mapInArrow(counted, "node bigint, links bigint, inside bigint").groupBy("node").agg(F.sum("links").alias("links"), F.sum("inside").alias("inside")).collect()  # a row for each sampled node at most
+    return [(r["links"], r["inside"]) for r in rows]
 
 
 def links(nodes: DataFrame, label: DataFrame, threshold: float) -> DataFrame:
@@ -261,22 +294,33 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, report: dict
     nodes = good.groupBy("v").agg(F.count("*").alias("n"), F.min("vec_id").alias("least")).withColumn("node", F.monotonically_increasing_id())
     nodes = keep(nodes, "nodes")  # the ids are fixed by the table
     n = nodes.count()
-    graph = first_graph(nodes, n)
-    rounds, recall = 0, 0.0
+    graph = first_graph(nodes, n, threshold)
+    rounds, since, extra, had = 0, 0, 0, link_count(graph, threshold)
     while True:
         if n:
-            new, changed = refine(nodes, graph, threshold)
+            new = refine(nodes, graph, threshold)
             forget(graph)
-            graph, rounds = new, rounds + 1
-        else:
-            changed = 0
+            graph, rounds, since = new, rounds + 1, since + 1
+            got = link_count(graph, threshold)
+            settled = got - had <= SETTLED * got
+            had = got
+            if not settled and since < MAX_ROUNDS:
+                continue
         edges = graph.select(F.col("node").alias("a"), F.explode(F.arrays_zip("nb", "sim")).alias("e")).filter(F.col("e.sim") >= threshold - 1e-9).select("a", F.col("e.nb").alias("b"))
         label = keep(components(edges), "label")
-        recall = audit(nodes, label, threshold)
-        if recall >= RECALL or not changed or rounds >= MAX_ROUNDS:
+        recall, seen = audit(nodes, label, threshold, n) if n else (None, 0)
+        if recall is None or recall >= RECALL:  # none seen: the tables' probability stands
             break
+        if extra == EXTRA:
+            raise RuntimeError(f"recall {recall:.3f} of {seen} nodes with links is below {RECALL} after {rounds} rounds and {extra} sets of fresh tables")
+        extra, since = extra + 1, 0
+        more = first_graph(nodes, n, threshold, extra)
+        new = keep(merged(graph.select("node", "nb", "sim").unionByName(more.select("node", "nb", "sim")), graph.select("node", "k")), "graph")
+        forget(graph)
+        forget(more)
+        graph = new
     if report is not None:
-        report.update(rounds=rounds, recall=recall, nodes=n)
+        report.update(rounds=rounds, recall=recall, seen=seen, extra=extra, nodes=n)
     found = links(nodes, label, threshold)
     exact = keep(components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))), "label")
     total = found.groupBy("node").agg(F.sum("links").alias("links"))

@@ -89,3 +89,28 @@ def test_pruning_and_blocks(spark, vectors, monkeypatch):
 def test_empty(spark, vectors):
     none = frame(spark, vectors).limit(0)
     assert neighbours.near_duplicates(none).count() == 0 and topk.search(none).count() == 0
+
+
+def test_lone_pairs_beside_a_large_group(spark, monkeypatch):
+    """Pairs just above 0.9 are found though a third of the vectors is one group, whose links are nearly all links."""
+    monkeypatch.setattr(neighbours, "LEAF", 4)
+    rng = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    group = unit(rng.standard_normal((1, 48)) + 0.05 * rng.standard_normal((1000, 48)))
+    left = unit(rng.standard_normal((300, 48)))
+    side = rng.standard_normal((300, 48))
+    side = unit(side - (side * left).sum(1, keepdims=True) * left)
+    right = 0.91 * left + np.sqrt(1 - 0.91**2) * side
+    x = np.concatenate([left, right, group, unit(rng.standard_normal((1400, 48)))])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    report: dict = {}
+    got = {r["vec_id"]: r["component_id"] for r in neighbours.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), report=report).collect()}
+    assert sum(got[i] == got[i + 300] for i in range(300)) / 300 >= 0.98
+    assert len({got[i] for i in range(600, 1600)}) == 1
+    assert report["recall"] >= neighbours.RECALL and report["seen"] >= neighbours.ENOUGH
+
+
+def test_tables_grow_with_the_code():
+    for bits in (0, 5, 11, 21):
+        same = (1 - np.arccos(0.9) / np.pi) ** bits
+        assert 1 - (1 - same) ** neighbours.tables_for(bits, 0.9) >= neighbours.MEET - 1e-9
