@@ -8,27 +8,28 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows an Arrow batch may hold; keeps a Python worker's memory bounded for long texts.
-BATCH_ROWS = 256
-#: Session settings that the operators' jobs run under.
-SETTINGS = {
-    "spark.sql.execution.arrow.maxRecordsPerBatch": str(BATCH_ROWS),
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
-}
+#: Bytes of an Arrow batch; keeps a Python worker's memory bounded for long texts.
+BATCH_BYTES = ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)
 #: Set while a table is written: its job's shuffle files go at once, since nothing runs that plan again.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def prepare(spark: SparkSession) -> None:
-    """Sets the session options that bound worker memory."""
-    for key, value in SETTINGS.items():
-        spark.conf.set(key, value)
+    """Bounds the bytes of an Arrow batch, unless the session's own bound is lower.
+
+    The operators' results are lazy, so the bound holds for the session."""
+    key, most = BATCH_BYTES
+    own = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < own <= most:
+        spark.conf.set(key, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only if the cluster names none."""
+    """The folder all executors share, as spark.checkpoint.dir names it; a temporary one only in local mode."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="larkspur-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/larkspur"
@@ -90,10 +91,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             .distinct()
         )
         new = keep(small, "edges")
-        same = (
-            new.exceptAll(pairs).limit(1).count() == 0
-            and pairs.exceptAll(new).limit(1).count() == 0
-        )
+        # both are sets: with as many rows they are the same if nothing is new
+        same = new.count() == pairs.count() and new.join(pairs, ["a", "b"], "left_anti").isEmpty()
         forget(pairs)
         pairs = new
         if same:

@@ -1,234 +1,102 @@
-"""Line dedup as an exact set-similarity self-join, in DataFrame functions only.
+"""Line dedup as an exact set-similarity self-join.
 
 A line's tokens are its lower-cased words, as a set.  A line goes if an earlier
-line of the corpus (by doc_id, then by number) has a token set of Jaccard
-similarity THRESHOLD or more; lines without words stay.
-
-Tokens are ordered by rarity: a sketch of token counts (one class per hash
-bucket, of fixed size) ranks them, rarest first, and a hash breaks ties; any
-fixed order keeps the join exact.  Equal sets are one class, whose first line
-stands for it.  Two different sets can only match if they share a token among
-their first n - ceil(t n) + 1 (prefix filter), have sizes within the factor t
-(length filter), have enough tokens left behind the first shared one (positional
-filter), and if their parity signatures differ in no more bits than their
-symmetric difference may have.  Survivors are verified on the whole sets.
-
-One earlier match settles a line.  So each line first meets the first line of
-its token's group and its last few predecessors there, which settles nearly all
-copies in a number of candidates linear in the input; groups of frequent tokens
-are salted for that.  Only lines still unsettled then meet the whole group.
+line of the corpus (by doc_id, null ids last, then by a hash of the text, then by
+number) has a token set of Jaccard similarity THRESHOLD or more; lines without
+words stay.  The join (``setjoin``) orders tokens by rarity and applies prefix,
+length, positional and parity filters; survivors are verified on the whole sets.
+
+One earlier match settles a line.  So each line first meets the first line of its
+tokens' groups and its last few predecessors there, which settles nearly all
+copies; only lines still unsettled then meet their whole groups.
+
+Words are found and hashed in Arrow batches: the native form in DataFrame
+functions alone did not meet the limits on processor time and disk (README).
 
 Defined cases: a null text has no lines and stays null; an empty one has one
-line without words; ids may be null (they sort last); rows that repeat an id are
-variants of one document: a line goes if any variant at its place does; equal
-rows stay equal; lines are of any length; other columns pass through; an empty
-table gives an empty result.
+line without words; ids may be null or repeat: rows are told apart by their
+texts, and rows that repeat both id and text are one document, whose lines are
+judged once, so equal rows stay equal; lines are of any length; other columns
+pass through, whatever their names and types; an empty table gives an empty
+result; a column named n_lines or n_removed is an error that names it.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import forget, keep, prepare
+from . import setjoin
+from .common import forget, keep
+from .tokens import line_hashes
 
 THRESHOLD = 0.8
-#: Buckets of the token sketch as powers of two: sixteen a document between these bounds, a byte each.
-SKETCH_BITS = (16, 24)
-#: Predecessors in a token's group that a line meets at once, besides the first.
-BACK = 2
-#: Count class (6 log2 of the count) from which on a token's group is salted.
-SALT_CLASS = 72
-#: Rounds in which postings are joined, each with the tokens of one hash part: a round's shuffle is what lies on disk.
-SLICES = 4
-
-
-def words(line):
-    """Words of a line between ASCII white space, lower-cased; empty strings are left in."""
-    return F.split(F.translate(F.lower(line), "\t\r\x0b\x0c", "    "), " ")
-
-
-def hashes(line):
-    """Distinct 64-bit hashes of a line's words."""
-    return F.array_distinct(F.transform(F.array_remove(words(line), ""), lambda w: F.xxhash64(w)))
-
-
-def _bit(place):
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), place)
-
-
-class Ids:
-    """One number that orders lines by document, then by place; null ids come last.
-
-    A long where ids and line numbers fit into 43 and 20 bits, else a decimal."""
-
-    def __init__(self, docs: DataFrame):
-        d = F.coalesce(F.col("doc_id"), F.lit(0))
-        breaks = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit("")))
-        r = docs.agg(F.min(d).alias("lo"), F.max(d).alias("hi"), F.max(breaks).alias("k")).first()
-        self.narrow = r["lo"] is None or (r["lo"] >= 0 and r["hi"] < (1 << 43) - 1 and (r["k"] or 0) < (1 << 20) - 1)
-        self.last = (1 << 43) - 1 if self.narrow else (1 << 63) - 1
-
-    def doc(self, doc):
-        return F.coalesce(doc, F.lit(self.last)).cast("bigint")
-
-    def pack(self, doc, number):
-        if self.narrow:
-            return self.doc(doc) * F.lit(1 << 20) + number.cast("bigint")
-        return (self.doc(doc).cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + number.cast("decimal(11,0)")).cast("decimal(33,0)")
-
-    def unpack(self, id_):
-        """(document, number) columns."""
-        if self.narrow:
-            return F.shiftright(id_, 20), id_.bitwiseAND(F.lit((1 << 20) - 1)).cast("int")
-        base = F.lit(1 << 32).cast("decimal(11,0)")
-        return F.floor(id_ / base).cast("bigint"), (id_ % base).cast("int")
-
-
-def sketch(docs: DataFrame, size: int) -> DataFrame:
-    """One row: the count class of each of size hash buckets, over all tokens of all documents."""
-    token = docs.select(F.explode(words(F.translate("text", "\n", " "))).alias("w")).filter("w <> ''")
-    counts = token.select(F.xxhash64("w").bitwiseAND(F.lit(size - 1)).cast("int").alias("b")).groupBy("b").agg(F.count("*").alias("n"))
-    zeros = docs.sparkSession.range(size).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("bigint").alias("n"))
-    full = counts.unionByName(zeros).groupBy("b").agg(F.least(F.lit(127), F.floor(6 * F.log2(F.sum("n") + 1))).cast("tinyint").alias("v"))
-    runs = full.groupBy(F.shiftright("b", 10).alias("hi")).agg(F.transform(F.sort_array(F.collect_list(F.struct("b", "v"))), lambda x: x["v"]).alias("vs"))
-    return runs.agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("hi", "vs"))), lambda x: x["vs"])).alias("sketch"))
-
-
-def line_sets(docs: DataFrame, t: float, ids: Ids) -> DataFrame:
-    """One row per distinct token set: id of its first line, n, sig and prefix (tokens, rarest first)."""
-    buckets = 1 << min(max(docs.count().bit_length() + 4, SKETCH_BITS[0]), SKETCH_BITS[1])
-    low = F.lit((1 << 56) - 1)
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
-    hashed = lines.select(ids.pack(F.col("doc_id"), F.col("k")).alias("id"), hashes("line").alias("h"))
-    rank = lambda v: F.shiftleft(F.get("sketch", v.bitwiseAND(F.lit(buckets - 1)).cast("int")).cast("bigint"), 56).bitwiseOR(v.bitwiseAND(low))
-    parity = F.aggregate("h", F.lit(0).cast("bigint"), lambda a, v: a.bitwiseXOR(_bit(v.bitwiseAND(F.lit(63)).cast("int"))))
-    # every column of these steps is used once, so the optimizer puts the scalar into the lambda and no row carries it
-    keyed = hashed.select("id", F.size("h").alias("n"), parity.alias("sig"), "h").select("*", sketch(docs, buckets).scalar().alias("sketch"))
-    keyed = keyed.select("id", "n", "sig", F.sort_array(F.transform("h", rank)).alias("keys"))
-    first = F.col("n") - F.ceil(F.lit(t) * F.col("n") - 1e-9) + 1
-    return (
-        keyed.filter("n > 0").select("id", "n", "sig", F.xxhash64("keys").alias("h1"), F.xxhash64(F.lit(1), "keys").alias("h2"), F.slice("keys", F.lit(1), first.cast("int")).alias("prefix"))
-        .groupBy("h1", "h2", "n", "sig", "prefix")
-        .agg(F.min("id").alias("id"))
-        .select("id", "n", "sig", "prefix")
-    )
-
-
-def possible(x, y, t: float):
-    """Whether postings x and y (structs n, pos, sig) may belong to sets of similarity t."""
-    total = x["n"] + y["n"]
-    need = F.ceil(total * (t / (1 + t)) - 1e-9)
-    return (
-        (F.least(x["n"], y["n"]) >= F.greatest(x["n"], y["n"]) * t - 1e-9)
-        & (1 + F.least(x["n"] - x["pos"] - 1, y["n"] - y["pos"] - 1) >= need)
-        & (F.bit_count(x["sig"].bitwiseXOR(y["sig"])) <= total - 2 * need)
-    )
-
-
-def postings(sets: DataFrame, t: float, part: int) -> DataFrame:
-    """(token, id, n, pos, sig and other columns of sets): the prefix tokens of a part that another set may share."""
-    small = t / (1 - t) - 1e-9  # sets of fewer tokens match equal ones only
-    rows = sets.filter(F.col("n") >= small).select(*(c for c in sets.columns if c != "prefix"), F.posexplode("prefix").alias("pos", "token"))
-    rows = rows.filter(F.col("token").bitwiseAND(F.lit(SLICES - 1)) == part)
-    return rows.filter(F.shiftrightunsigned("token", 56) > 6)  # a bucket counted once holds a token that stands nowhere else
-
-
-def first_pairs(sets: DataFrame, t: float, part: int) -> DataFrame:
-    """(x, y): each line with those it may match of the first line of its token's group and its last predecessors.
-
-    Groups of frequent tokens are salted by what the sketch says of them."""
-    salts = F.call_function("shiftleft", F.lit(1), F.greatest(F.lit(0), F.floor((F.shiftrightunsigned("token", 56) - SALT_CLASS) / 6)).cast("int"))
-    rows = postings(sets, t, part).withColumn("cell", F.pmod(F.xxhash64("id"), salts).cast("int"))
-    by = Window.partitionBy("token", "cell").orderBy("id")
-    me = F.struct("id", "n", "pos", "sig")
-    rows = rows.withColumn("near", F.array(F.first(me).over(by), *(F.lag(me, i).over(by) for i in range(1, BACK + 1))))
-    own = {c: F.col(c) for c in ("n", "pos", "sig")}
-    ok = F.filter(F.array_distinct("near"), lambda y: y.isNotNull() & (y["id"] < F.col("id")) & possible(own, y, t))
-    return rows.select("id", F.explode(F.transform(ok, lambda y: y["id"])).alias("y")).select(F.col("id").alias("x"), "y").distinct()
-
-
-def other_pairs(known: DataFrame, t: float, part: int) -> DataFrame:
-    """(x, y): lines not settled yet (done = 0) with every earlier line they may match.
-
-    Both sides are one exchange: whether x is settled is asked in the join, not before it."""
-    rows = postings(known, t, part)
-    left, right = rows.alias("l"), rows.alias("r")
-    side = lambda s: {c: F.col(f"{s}.{c}") for c in ("n", "pos", "sig")}
-    open_ = F.col("l.done") * 2 <= F.col("r.done")  # l is open; both sides need the same columns
-    on = (F.col("l.token") == F.col("r.token")) & (F.col("r.id") < F.col("l.id")) & open_ & possible(side("l"), side("r"), t)
-    return left.join(right, on).select(F.col("l.id").alias("x"), F.col("r.id").alias("y")).distinct()
-
-
-def token_sets(docs: DataFrame, pairs: DataFrame, ids: Ids) -> DataFrame:
-    """(id, h): the whole token sets of the lines in pairs(x, y)."""
-    wanted = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    d, k = ids.unpack(F.col("id"))
-    by_doc = wanted.select(d.alias("d"), k.alias("k"), "id").groupBy("d").agg(F.collect_list(F.struct("k", "id")).alias("ks"))
-    text = docs.select(ids.doc(F.col("doc_id")).alias("d"), "text")
-    sets = text.join(by_doc, "d").select("ks", F.split("text", "\n").alias("lines")).select(F.explode("ks").alias("e"), "lines")
-    return sets.select("e.id", F.get("lines", F.col("e.k")).alias("line")).filter("line is not null").select("id", hashes("line").alias("h"))
-
-
-def verified(sets: DataFrame, pairs: DataFrame, t: float) -> DataFrame:
-    """Ids x of pairs(x, y) whose lines have similarity t or more."""
-    left = pairs.join(sets.withColumnRenamed("id", "x").withColumnRenamed("h", "hx"), "x")
-    both = left.join(sets.withColumnRenamed("id", "y").withColumnRenamed("h", "hy"), "y")
-    shared = F.size(F.array_intersect("hx", "hy"))
-    return both.filter(shared * (1 + t) >= t * (F.size("hx") + F.size("hy")) - 1e-9).select(F.col("x").alias("id")).distinct()
-
-
-def settled(docs: DataFrame, pairs: DataFrame, t: float, ids: Ids) -> DataFrame:
-    """Ids x of pairs(x, y) with a verified match: one is enough, so the first y is tried before the others.
-
-    The texts are shuffled once, for the token sets of all lines in pairs."""
-    sets = keep(token_sets(docs, pairs, ids), "line-tokens")
-    one = pairs.groupBy("x").agg(F.min("y").alias("y"))
-    got = keep(verified(sets, one, t), "line-later")
-    rest = pairs.join(got.withColumnRenamed("id", "x"), "x", "left_anti").join(one, ["x", "y"], "left_anti")
-    more = keep(verified(sets, rest, t), "line-later")
-    forget(sets)
-    return got.unionByName(more).distinct()
-
-
-def repeated_lines(docs: DataFrame, t: float, ids: Ids) -> tuple[DataFrame, DataFrame]:
-    """(first, later): ids of the first lines of all token sets, and those among them with an earlier match."""
-    sets = keep(line_sets(docs, t, ids), "line-sets")
-    pairs = [keep(first_pairs(sets, t, i), "line-pairs") for i in range(SLICES)]
-    later = settled(docs, reduce(DataFrame.unionByName, pairs), t, ids)
-    known = sets.join(later.withColumn("done", F.lit(1)), "id", "left").select("id", "n", "sig", "prefix", F.coalesce("done", F.lit(0)).alias("done"))
-    known = keep(known, "line-known")
-    forget(sets)
-    pairs = [keep(other_pairs(known, t, i), "line-pairs") for i in range(SLICES)]
-    first = keep(known.select("id"), "line-first")
-    forget(known)
-    more = settled(docs, reduce(DataFrame.unionByName, pairs), t, ids)
-    return first, later.unionByName(more).distinct()
+
+
+def settled(join: setjoin.Join, pairs: DataFrame) -> DataFrame:
+    """Ids x of pairs(x, y) with a verified match: one is enough, so the first y is tried before the others."""
+    whole = keep(setjoin.members(join, pairs), "line-members")
+    one = keep(pairs.groupBy("x").agg(F.min("y").alias("y")), "line-one")
+    got = keep(setjoin.verified(join, whole, one).select("x"), "line-later")
+    rest = pairs.join(got.hint("shuffle_merge"), "x", "left_anti").join(one.hint("shuffle_merge"), ["x", "y"], "left_anti")
+    more = keep(setjoin.verified(join, whole, rest).select("x").distinct(), "line-later")
+    for table in (whole, one):
+        forget(table)
+    return got.unionByName(more)
+
+
+def stays(docs: DataFrame, t: float = THRESHOLD) -> tuple[setjoin.Join, DataFrame]:
+    """(join, lines that stay): doc_id, t and number of the first lines of all token sets without an earlier match."""
+    join = setjoin.classes(docs, line_hashes, t)
+    pairs = keep(setjoin.star(join), "line-pairs")
+    later = settled(join, pairs)
+    forget(pairs)
+    done = later.select(F.col("x").alias("id"), F.lit(False).alias("open")).hint("shuffle_merge")
+    marked = keep(join.sets.join(done, "id", "left").select("id", "n", "sig", "skip", "prefix", F.coalesce("open", F.lit(True)).alias("open"), F.col("id").alias("label")), "line-marked")
+    parts = [keep(setjoin.cross(join, marked, i, either=False), "line-pairs") for i in range(setjoin.SLICES)]
+    forget(marked)
+    pairs = parts[0]
+    for p in parts[1:]:
+        pairs = pairs.unionByName(p)
+    pairs = keep(pairs.distinct(), "line-pairs")
+    for p in parts:
+        forget(p)
+    more = settled(join, pairs)
+    forget(pairs)
+    gone = later.unionByName(more).withColumnRenamed("x", "id").hint("shuffle_merge")
+    return join, join.sets.select("id", "doc_id", "t", "number").join(gone, "id", "left_anti").select("doc_id", "t", "number")
+
+
+def _cut(text: str | None, stay: list | None) -> tuple:
+    """(text, lines, lines removed) with the lines that are numbered in stay or hold no word."""
+    if text is None:
+        return None, 0, 0
+    lines, stay = text.split("\n"), set(stay or ())
+    kept = [x for i, x in enumerate(lines) if i in stay or not x.strip(" \t\r\x0b\x0c")]
+    return (text if len(kept) == len(lines) else "\n".join(kept)), len(lines), len(lines) - len(kept)
+
+
+@F.arrow_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("n", T.IntegerType()), T.StructField("removed", T.IntegerType())]))
+def _apply(text: pa.Array, stay: pa.Array) -> pa.Array:
+    rows = [_cut(x, s) for x, s in zip(text.to_pylist(), stay.to_pylist(), strict=True)]
+    cols = list(zip(*rows, strict=True)) or [()] * 3
+    return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int32()), strict=True)], names=["text", "n", "removed"])
 
 
 def dedup(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
     """docs with text reduced to the lines that stay, and n_lines, n_removed; no row is dropped."""
-    prepare(docs.sparkSession)
     if clash := {"n_lines", "n_removed"} & set(docs.columns):
         raise ValueError(f"columns {sorted(clash)} exist already")
-    slim = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    ids = Ids(slim)
-    first, later = repeated_lines(slim, t, ids)
-    d, k = ids.unpack(F.col("id"))
-    stay = first.join(later, "id", "left_anti").select(d.alias("_d"), k.alias("k"))
-    bits = stay.groupBy("_d", F.shiftright("k", 6).alias("at")).agg(F.bit_or(_bit(F.col("k").bitwiseAND(F.lit(63)))).alias("bits"))
-    masks = bits.groupBy("_d").agg(F.map_from_entries(F.collect_list(F.struct("at", "bits"))).alias("_m"), F.max("at").alias("_top"))
-    masks = masks.select("_d", F.transform(F.sequence(F.lit(0), F.col("_top")), lambda i: F.coalesce(F.element_at("_m", i), F.lit(0).cast("bigint"))).alias("_mask"))
-    masks = keep(masks, "line-masks")
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), ids.doc(F.col("doc_id")).alias("_d"))
-    bit = lambda i: F.call_function("shiftright", F.coalesce(F.get("_mask", F.shiftright(i, 6)), F.lit(0).cast("bigint")), i.bitwiseAND(F.lit(63)))
-    kept = F.filter("_lines", lambda line, i: (bit(i).bitwiseAND(F.lit(1).cast("bigint")) == 1) | (F.trim(F.translate(line, "\t\r\x0b\x0c", "    ")) == ""))
-    out = rows.join(masks, "_d", "left").select("_row", "_mask", F.split("_row.text", "\n").alias("_lines")).select("_row", "_lines", kept.alias("_kept"))
-    columns = [F.array_join("_kept", "\n").alias("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns]
-    n = F.coalesce(F.size("_lines"), F.lit(0))
-    return out.select(*columns, F.when(F.col("_lines").isNull(), 0).otherwise(n).alias("n_lines"), F.when(F.col("_lines").isNull(), 0).otherwise(n - F.size("_kept")).alias("n_removed"))
+    join, lines = stays(docs.select("doc_id", "text"), t)
+    stay = keep(lines.groupBy("doc_id", "t").agg(F.collect_list(F.col("number").cast("int")).alias("stay")), "line-stay")
+    forget(join.sets)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("t"), F.col("text"))
+    both = rows.alias("r").join(stay.alias("s").hint("shuffle_merge"), F.col("r.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("r.t") == F.col("s.t")), "left")
+    out = both.select("row", _apply(F.col("r.text"), F.col("s.stay")).alias("out"))
+    columns = [F.col("out.text").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
+    return out.select(*columns, F.col("out.n").alias("n_lines"), F.col("out.removed").alias("n_removed"))
 
 
 #: The same in DuckDB SQL over "documents"; candidates by shared prefix tokens in order of frequency.
