@@ -6,9 +6,9 @@ number) has a token set of Jaccard similarity THRESHOLD or more; lines without
 words stay.  The join (``setjoin``) orders tokens by rarity and applies prefix,
 length, positional and parity filters; survivors are verified on the whole sets.
 
-One earlier match settles a line.  So each line first meets the first line of its
-tokens' groups and its last few predecessors there, which settles nearly all
-copies; only lines still unsettled then meet their whole groups.
+One earlier match settles a line.  So each line first meets the first lines of its
+tokens' groups and its last predecessors there, the most similar by signature, which
+settles nearly all copies; only lines still unsettled then meet their whole groups.
 
 Words are found and hashed in Arrow batches: the native form in DataFrame
 functions alone did not meet the limits on processor time and disk (README).
@@ -40,7 +40,7 @@ def settled(join: setjoin.Join, pairs: DataFrame) -> DataFrame:
     whole = keep(setjoin.members(join, pairs), "line-members")
     one = keep(pairs.groupBy("x").agg(F.min("y").alias("y")), "line-one")
     got = keep(setjoin.verified(join, whole, one).select("x"), "line-later")
-    rest = pairs.join(got.hint("shuffle_merge"), "x", "left_anti").join(one.hint("shuffle_merge"), ["x", "y"], "left_anti")
+    rest = pairs.join(got.hint("shuffle_hash"), "x", "left_anti").join(one.hint("shuffle_hash"), ["x", "y"], "left_anti")
     more = keep(setjoin.verified(join, whole, rest).select("x").distinct(), "line-later")
     for table in (whole, one):
         forget(table)
@@ -53,9 +53,9 @@ def stays(docs: DataFrame, t: float = THRESHOLD) -> tuple[setjoin.Join, DataFram
     pairs = keep(setjoin.star(join), "line-pairs")
     later = settled(join, pairs)
     forget(pairs)
-    done = later.select(F.col("x").alias("id"), F.lit(False).alias("open")).hint("shuffle_merge")
-    marked = keep(join.sets.join(done, "id", "left").select("id", "n", "sig", "skip", "prefix", F.coalesce("open", F.lit(True)).alias("open"), F.col("id").alias("label")), "line-marked")
-    parts = [keep(setjoin.cross(join, marked, i, either=False), "line-pairs") for i in range(setjoin.SLICES)]
+    done = later.select(F.col("x").alias("id"), F.lit(False).alias("open")).hint("shuffle_hash")
+    marked = keep(join.sets.join(done, "id", "left").select("id", "n", "sig", "more", "skip", "prefix", F.coalesce("open", F.lit(True)).alias("open")), "line-marked")
+    parts = [keep(setjoin.cross(join, marked, i, labels=False), "line-pairs") for i in range(setjoin.SLICES)]
     forget(marked)
     pairs = parts[0]
     for p in parts[1:]:
@@ -65,7 +65,7 @@ def stays(docs: DataFrame, t: float = THRESHOLD) -> tuple[setjoin.Join, DataFram
         forget(p)
     more = settled(join, pairs)
     forget(pairs)
-    gone = later.unionByName(more).withColumnRenamed("x", "id").hint("shuffle_merge")
+    gone = later.unionByName(more).withColumnRenamed("x", "id").hint("shuffle_hash")
     return join, join.sets.select("id", "doc_id", "t", "number").join(gone, "id", "left_anti").select("doc_id", "t", "number")
 
 
@@ -93,7 +93,7 @@ def dedup(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
     stay = keep(lines.groupBy("doc_id", "t").agg(F.collect_list(F.col("number").cast("int")).alias("stay")), "line-stay")
     forget(join.sets)
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("t"), F.col("text"))
-    both = rows.alias("r").join(stay.alias("s").hint("shuffle_merge"), F.col("r.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("r.t") == F.col("s.t")), "left")
+    both = rows.alias("r").join(stay.alias("s").hint("shuffle_hash"), F.col("r.doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("r.t") == F.col("s.t")), "left")
     out = both.select("row", _apply(F.col("r.text"), F.col("s.stay")).alias("out"))
     columns = [F.col("out.text").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
     return out.select(*columns, F.col("out.n").alias("n_lines"), F.col("out.removed").alias("n_removed"))

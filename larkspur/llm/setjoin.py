@@ -11,11 +11,10 @@ first shared one (positional filter), and their parity signatures differ in no
 more bits than their symmetric difference may have.  What is left is verified on
 the whole sets, which are made again from the texts that hold them.
 
-Groups of a shared token are met twice.  First every unit meets the first unit
-and the last few before it in the groups of its rarest tokens (``star``); that
-settles nearly all copies of a large group in a number of pairs linear in the
-input.  Then units that are still open meet their whole groups (``cross``).
-Groups of frequent tokens are dealt to cells, so that a task holds at most the
+Most links are settled before that in a number of pairs linear in the input: in
+groups of units with equal least members in random orders, each unit meets, of the
+first and the last units before it, those with the most similar signatures (``star``).  Then units that are still open meet all earlier ones that share a prefix token
+(``cross``), which makes the join exact.  Groups of frequent tokens are dealt to cells, so that a task holds at most the
 units of a cell; open units visit all cells of a token.
 """
 
@@ -31,9 +30,9 @@ from pyspark.sql import functions as F
 from .common import forget, keep, prepare
 from .tokens import SINGLE, Sets, ranges, tally
 
-#: Rarest tokens by which units meet the first time, and predecessors met there besides the first.
-STAR, BACK = 3, 2
-#: Count class (6 log2 of the count) from which on a token's group is dealt to cells, for each of the two meetings.
+#: Bands by which units meet the first time; first and last predecessors looked at, and how many of them are met.
+BANDS, NEAR, BEST = 3, 64, 2
+#: Count class (6 log2 of the count) of a token from which on groups are dealt to cells, for each of the two meetings.
 STAR_CLASS, CROSS_CLASS = 72, 84
 #: Rounds in which open units meet their groups, each with the tokens of one hash part: what a round shuffles is what lies on disk.
 SLICES = 4
@@ -57,8 +56,8 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, units, t: float) -> Join:
-    """The join of docs(doc_id, text) with its table of classes: id, void (no doc_id), doc_id, t, number, n, sig,
-    skip and prefix: the tokens by which the set may meet others, the first of them the skip-th rarest."""
+    """The join of docs(doc_id, text) with its table of classes: id, void (no doc_id), doc_id, t, number, n, sig, more,
+    skip, bands and prefix: the tokens by which the set may meet others, the first of them the skip-th rarest."""
     spark = docs.sparkSession
     prepare(spark)
     slim = keyed(docs)
@@ -68,7 +67,7 @@ def classes(docs: DataFrame, units, t: float) -> Join:
     def made(batches):
         for b in batches:
             s = Sets(*units(b["text"]), sketch.value)
-            h1, h2 = s.names()
+            (h1, h2), (sig, more) = s.names(), s.parity()
             single = np.bincount(s.unit[(s.key >> np.uint64(56)) <= SINGLE], minlength=len(s.n))  # they come first and stand nowhere else
             length = np.where(s.n >= least, s.n - np.ceil(t * s.n - 1e-9).astype(np.int64) + 1, 0)
             skip = np.minimum(single, length)
@@ -76,11 +75,12 @@ def classes(docs: DataFrame, units, t: float) -> Join:
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length - skip)]), pa.int32()), pa.array(s.key[pick].view(np.int64)))
             row = pa.array(s.row)
             doc = b["doc_id"].take(row)
-            numbers = [pa.array(x.astype(d)) for x, d in ((s.number, np.int64), (s.n, np.int64), (s.parity(), np.int64), (h1, np.int64), (h2, np.int64), (skip, np.int32))]
-            yield pa.RecordBatch.from_arrays([doc.is_null(), doc, b["t"].take(row), *numbers, lists], names=["void", "doc_id", "t", "number", "n", "sig", "h1", "h2", "skip", "prefix"])
+            numbers = [pa.array(x.astype(d)) for x, d in ((s.number, np.int64), (s.n, np.int64), (sig, np.int64), (more, np.int64), (h1, np.int64), (h2, np.int64), (skip, np.int32))]
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(len(s.n) + 1) * BANDS, pa.int32()), pa.array(np.stack(s.bands(BANDS), 1).ravel()))
+            yield pa.RecordBatch.from_arrays([doc.is_null(), doc, b["t"].take(row), *numbers, bands, lists], names=["void", "doc_id", "t", "number", "n", "sig", "more", "h1", "h2", "skip", "bands", "prefix"])
 
-    rows = slim.mapInArrow(made, "void boolean, doc_id bigint, t bigint, number bigint, n bigint, sig bigint, h1 bigint, h2 bigint, skip int, prefix array<bigint>")
-    first = F.min(F.struct("void", "doc_id", "t", "number", "n", "sig", "skip", "prefix"))
+    rows = slim.mapInArrow(made, "void boolean, doc_id bigint, t bigint, number bigint, n bigint, sig bigint, more bigint, h1 bigint, h2 bigint, skip int, bands array<bigint>, prefix array<bigint>")
+    first = F.min(F.struct("void", "doc_id", "t", "number", "n", "sig", "more", "skip", "bands", "prefix"))
     once = keep(rows.groupBy("h1", "h2").agg(first.alias("c")).select("c.*"), "set-classes")
     order = ["void", "doc_id", "t", "number"]
     numbered = once.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("id", F.monotonically_increasing_id())
@@ -89,147 +89,147 @@ def classes(docs: DataFrame, units, t: float) -> Join:
     return Join(slim, units, t, sets)
 
 
-def possible(nx, px, sx, ny, py, sy, t: float) -> np.ndarray:
-    """Whether sets of sizes n that share a token at places p, with signatures s, may have similarity t."""
-    total = nx + ny
-    need = np.ceil(total * (t / (1 + t)) - 1e-9).astype(np.int64)
-    ok = (np.minimum(nx, ny) >= np.maximum(nx, ny) * t - 1e-9) & (np.minimum(nx - px, ny - py) >= need)
-    return ok & (np.bitwise_count((sx ^ sy).view(np.uint64)) <= total - 2 * need)
+def differing(*pairs) -> np.ndarray:
+    """Bits in which signatures differ."""
+    return sum(np.bitwise_count((x ^ y).view(np.uint64)).astype(np.int64) for x, y in pairs)
 
 
-def _shift(by):
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), by.cast("int"))
+def possible(nx, px, ny, py, bits, t: float) -> np.ndarray:
+    """Whether sets of sizes n that share a token at places p, with signatures that differ in bits, may have similarity t."""
+    total = nx + ny
+    need = np.ceil(total * (t / (1 + t)) - 1e-9).astype(np.int64)
+    return (np.minimum(nx, ny) >= np.maximum(nx, ny) * t - 1e-9) & (np.minimum(nx - px, ny - py) >= need) & (bits <= total - 2 * need)
 
 
 def _cells(token, least: int):
     """Cells of a token's group, as many as the sketch's count asks for."""
-    return _shift(F.greatest(F.lit(0), F.floor((F.shiftrightunsigned(token, 56) - least) / 6)))
-
+    more = F.greatest(F.lit(0), F.floor((F.shiftrightunsigned(token, 56) - least) / 6))
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), more.cast("int"))
 
-def _at(n, place, flags):
-    """Size, place and two flags in one number."""
-    return F.shiftleft(n, 32).bitwiseOR(F.shiftleft(place.cast("bigint"), 2)).bitwiseOR(flags.cast("bigint"))
 
+def _group(token, cell):
+    """One number for a cell of a group; two that meet by chance cost a comparison and no more."""
+    return F.xxhash64(token, cell).alias("group")
 
-def _postings(sets: DataFrame, prefix, *columns) -> DataFrame:
-    rows = sets.filter(F.size("prefix") > 0).select("id", "n", "sig", "skip", *columns, F.posexplode(prefix).alias("i", "token"))
-    return rows.withColumn("place", F.col("skip") + F.col("i")).drop("i", "skip")
 
+def _pairs(found: list):
+    x, y = np.unique(np.concatenate(found, 1), axis=1) if found else np.zeros((2, 0), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
 
-def _columns(b, *names) -> list:
-    return [b[c].to_numpy(zero_copy_only=False) for c in names]
 
-
-def _pairs(x, y):
-    return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)), pa.array(y.astype(np.int64))], names=["x", "y"])
-
-
-def _starts(keys: list) -> np.ndarray:
-    """For each row of sorted keys the first row of its group."""
-    new = np.zeros(len(keys[0]), bool)
-    new[0] = True
-    for k in keys:
-        new[1:] |= k[1:] != k[:-1]
+def _starts(group: np.ndarray) -> np.ndarray:
+    """For each row of sorted groups the first row of its group."""
+    new = np.concatenate([[True], group[1:] != group[:-1]])
     return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
 
 
-def star(join: Join) -> DataFrame:
-    """(x, y), y < x: units that may match the first or one of the last before them in the groups of their rarest tokens."""
-    t = join.t
-    rows = _postings(join.sets, F.slice("prefix", F.lit(1), F.lit(STAR)))
-    cell = F.pmod(F.xxhash64("id"), _cells(F.col("token"), STAR_CLASS))
-    rows = rows.select("token", cell.alias("cell"), "id", _at(F.col("n"), F.col("place"), F.lit(0)).alias("at"), "sig")
-
-    def met(batches):
-        held = None  # first and last rows of the group that the next batch may go on with
-        for b in batches:
-            if not b.num_rows:
-                continue
-            cols = _columns(b, "token", "cell", "id", "at", "sig")
+def _continued(batches, held_of):
+    """(columns, rows seen before) of sorted batches, each with the rows of its first group that held_of chose of the batch before."""
+    held = None
+    for b in batches:
+        if b.num_rows:
+            cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
             old = 0 if held is None else len(held[0])
-            if old:
-                cols = [np.concatenate(c) for c in zip(held, cols, strict=True)]
-            token, cell, ids, at, sig = cols
-            n, place = at >> 32, (at & 0xFFFFFFFF) >> 2
-            begin = _starts([token, cell])
-            i = np.arange(old, len(ids))
-            keys = []
-            for j in (begin[i], *(np.maximum(i - k, begin[i]) for k in range(1, BACK + 1))):
-                ok = (ids[j] < ids[i]) & possible(n[i], place[i], sig[i], n[j], place[j], sig[j], t)
-                keys.append(np.stack([ids[i[ok]], ids[j[ok]]]))
-            x, y = np.unique(np.concatenate(keys, 1), axis=1)
-            yield _pairs(x, y)
-            last = begin[-1]
-            back = np.unique(np.concatenate([[last], np.arange(max(last, len(ids) - BACK), len(ids))]))
-            held = [c[back] for c in cols]
+            cols = [np.concatenate(c) for c in zip(held, cols, strict=True)] if old else cols
+            begin = _starts(cols[0])
+            yield cols, begin, old
+            keep_ = held_of(cols, begin[-1])
+            held = [c[keep_] for c in cols]
 
-    sent = rows.repartition("token", "cell").sortWithinPartitions("token", "cell", "id")
-    return sent.mapInArrow(met, "x bigint, y bigint").distinct()
 
+def star(join: Join) -> DataFrame:
+    """(x, y), y < x: units with the BEST by signature that they may match, of the first and the last NEAR units
+    before them in their groups of equal bands."""
+    t = join.t
+    # the prefix' last token stands in all units of a large group of similar ones: its count bounds the group
+    cell = F.pmod(F.xxhash64("id"), _cells(F.element_at("prefix", -1), STAR_CLASS))
+    rows = join.sets.filter(F.size("prefix") > 0).select("id", "n", "sig", "more", cell.alias("cell"), F.explode("bands").alias("band"))
+    rows = rows.select(_group(F.col("band"), F.col("cell")), "id", "n", "sig", "more")
 
-def cross(join: Join, marked: DataFrame, part: int, either: bool) -> DataFrame:
-    """(x, y): open units x with all that they may match in their groups, for the tokens of a part.
+    def held_of(cols, last):
+        size = len(cols[0])
+        return np.unique(np.concatenate([np.arange(last, min(last + NEAR, size)), np.arange(max(last, size - NEAR), size)]))
 
-    marked: the classes with open (boolean) and label.  Pairs of one label are left out.  y is earlier than x;
-    with either, y may also be a later unit that is not open."""
+    def met(batches):
+        for (_, ids, n, sig, more), begin, old in _continued(batches, held_of):
+            new = np.arange(old, len(ids))
+            best = np.full((BEST, len(ids)), 1 << 40)  # differing bits and the row, the least first
+            for k in range(2 * NEAR):
+                # first the last rows before it, then the first rows of its group
+                i = new[new - begin[new] > (k if k < NEAR else k - NEAR)]
+                j = i - k - 1 if k < NEAR else begin[i] + k - NEAR
+                if k >= NEAR:
+                    i, j = i[j < i - NEAR], j[j < i - NEAR]
+                if not len(i):
+                    continue
+                bits = differing((sig[i], sig[j]), (more[i], more[j]))
+                ok = (ids[j] < ids[i]) & possible(n[i], 0, n[j], 0, bits, t)
+                i, found = i[ok], (bits[ok] << 32) | j[ok]
+                for rank in range(BEST):
+                    best[rank, i], found = np.minimum(best[rank, i], found), np.maximum(best[rank, i], found)
+            some = [np.flatnonzero(b < 1 << 40) for b in best]
+            yield _pairs([np.stack([ids[i], ids[best[rank, i] & 0xFFFFFFFF]]) for rank, i in enumerate(some)])
+
+    return rows.repartition("group").sortWithinPartitions("group", "id").mapInArrow(met, "x bigint, y bigint").distinct()
+
+
+#: Bits of a unit's number above the number itself: a guest in a cell of others, and open.
+_GUEST, _OPEN = 62, 61
+
+
+def cross(join: Join, marked: DataFrame, part: int, labels: bool) -> DataFrame:
+    """(x, y): open units x with all earlier ones that they may match in their groups, for the tokens of a part.
+
+    marked: the classes with open (boolean).  With labels it also has a label: pairs of one label are left out,
+    and y may also be a later unit that is not open."""
     t = join.t
-    rows = _postings(marked, F.col("prefix"), "open", "label")
+    last = "label" if labels else "more"
+    rows = marked.filter(F.size("prefix") > 0).select("id", "n", "sig", "skip", "open", last, F.posexplode("prefix").alias("i", "token"))
     rows = rows.filter(F.col("token").bitwiseAND(F.lit(SLICES - 1)) == part)
     cells = _cells(F.col("token"), CROSS_CLASS)
     own = F.pmod(F.xxhash64("id"), cells)
     visits = F.when(F.col("open") & (cells > 1), F.sequence(F.lit(0).cast("bigint"), cells - 1)).otherwise(F.array(own))
     rows = rows.withColumn("own", own).withColumn("cell", F.explode(visits))
-    guest = F.col("cell") != F.col("own")
-    flags = F.col("open").cast("int") + F.when(guest, 2).otherwise(0)
-    rows = rows.select("token", "cell", guest.alias("guest"), "open", "id", _at(F.col("n"), F.col("place"), flags).alias("at"), "sig", "label")
+    flag = lambda c, bit: F.when(c, F.lit(1 << bit)).otherwise(F.lit(0)).cast("bigint")
+    who = F.col("id").bitwiseOR(flag(F.col("cell") != F.col("own"), _GUEST)).bitwiseOR(flag(F.col("open"), _OPEN))
+    at = F.shiftleft("n", 32).bitwiseOR((F.col("skip") + F.col("i")).cast("bigint"))  # size and place
+    rows = rows.select(_group(F.col("token"), F.col("cell")), who.alias("who"), at.alias("at"), "sig", last)
+
+    def held_of(cols, last):  # the hosts of a cell, which bounds them
+        return last + np.flatnonzero(cols[1][last:] < 1 << _GUEST)
 
     def met(batches):
-        held = None  # hosts of the group that the next batch may go on with; a cell bounds them
-        for b in batches:
-            if not b.num_rows:
-                continue
-            cols = _columns(b, "token", "cell", "id", "at", "sig", "label")
-            old = 0 if held is None else len(held[0])
-            if old:
-                cols = [np.concatenate(c) for c in zip(held, cols, strict=True)]
-            token, cell, ids, at, sig, label = cols
-            n, place, is_open, host = at >> 32, (at & 0xFFFFFFFF) >> 2, (at & 1) > 0, (at & 2) == 0
-            begin = _starts([token, cell])
+        for (_, who, at, sig, more), begin, old in _continued(batches, held_of):
+            n, place, ids = at >> 32, at & 0xFFFFFFFF, who & ((1 << _OPEN) - 1)
+            is_open, host = (who >> _OPEN) & 1 > 0, who < 1 << _GUEST
             hosts = np.flatnonzero(host)
             before = np.cumsum(host) - host  # hosts before a row
             i = np.arange(old, len(ids))
             i = i[is_open[i]]
             lo, many = before[begin[i]], before[i] - before[begin[i]]
             i, lo, many = i[many > 0], lo[many > 0], many[many > 0]
-            found, upto = [], np.cumsum(many)
-            cut = 0
+            found, upto, cut = [], np.cumsum(many), 0
             while cut < len(i):
                 end = max(cut + 1, int(np.searchsorted(upto, (upto[cut - 1] if cut else 0) + PAIRS, "right")))
                 p, j = np.repeat(i[cut:end], many[cut:end]), hosts[ranges(lo[cut:end], many[cut:end])]
                 cut = end
-                ok = (label[p] != label[j]) & ((ids[j] < ids[p]) | (either & ~is_open[j]))
+                ok = (more[p] != more[j]) & ((ids[j] < ids[p]) | ~is_open[j]) if labels else ids[j] < ids[p]
                 p, j = p[ok], j[ok]
-                ok = possible(n[p], place[p], sig[p], n[j], place[j], sig[j], t)
+                bits = differing((sig[p], sig[j])) if labels else differing((sig[p], sig[j]), (more[p], more[j]))
+                ok = possible(n[p], place[p], n[j], place[j], bits, t)
                 found.append(np.stack([ids[p[ok]], ids[j[ok]]]))
-            if found:
-                x, y = np.unique(np.concatenate(found, 1), axis=1)
-                yield _pairs(x, y)
-            last = begin[-1]
-            held = [c[last:][host[last:]] for c in cols]
-            if not len(held[0]):
-                held = None
+            yield _pairs(found)
 
-    order = ["token", "cell", "guest", "open", "id"]
-    return rows.repartition("token", "cell").sortWithinPartitions(*order).drop("guest", "open").mapInArrow(met, "x bigint, y bigint").distinct()
+    return rows.repartition("group").sortWithinPartitions("group", "who").mapInArrow(met, "x bigint, y bigint").distinct()
 
 
 def members(join: Join, pairs: DataFrame) -> DataFrame:
     """(id, h): the whole sets of the units in pairs(x, y), made again from their texts."""
     units = join.units
     wanted = pairs.select(F.explode(F.array("x", "y")).alias("id")).distinct()
-    places = join.sets.select("id", "doc_id", "t", "number").join(wanted.hint("shuffle_merge"), "id")
+    places = join.sets.select("id", "doc_id", "t", "number").join(wanted.hint("shuffle_hash"), "id")
     by_doc = places.groupBy("doc_id", "t").agg(F.collect_list(F.struct("number", "id")).alias("places")).withColumnRenamed("doc_id", "d").withColumnRenamed("t", "dt")
-    texts = join.docs.join(by_doc.hint("shuffle_merge"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("dt"))).select("text", "places")
+    texts = join.docs.join(by_doc.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("dt"))).select("text", "places")
 
     def made(batches):
         for b in batches:
@@ -251,7 +251,7 @@ def members(join: Join, pairs: DataFrame) -> DataFrame:
 def verified(join: Join, whole: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs(x, y) whose sets have similarity t or more; whole is from members()."""
     t = join.t
-    side = lambda c: whole.select(F.col("id").alias(c), F.col("h").alias(f"h{c}")).hint("shuffle_merge")
-    both = pairs.join(side("x"), "x").join(side("y"), "y")
+    side = lambda c: whole.select(F.col("id").alias(c), F.col("h").alias(f"h{c}"))
+    both = pairs.hint("shuffle_hash").join(side("x"), "x").hint("shuffle_hash").join(side("y"), "y")
     shared = F.size(F.array_intersect("hx", "hy"))
     return both.filter(shared * (1 + t) >= t * (F.size("hx") + F.size("hy")) - 1e-9).select("x", "y")

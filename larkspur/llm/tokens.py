@@ -164,10 +164,20 @@ class Sets:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return tuple(np.add.reduceat(mixed(self.h * k + _A), self.first).view(np.int64) for k in (_B, _C))
 
-    def parity(self) -> np.ndarray:
-        """For each set the parities of its members in 64 classes."""
+    def parity(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each set the parities of its members in 128 classes."""
         bits = np.uint64(1) << (self.h & np.uint64(63))
-        return (np.bitwise_xor.reduceat(bits, self.first) if len(bits) else np.zeros(0, np.uint64)).view(np.int64)
+        upper = (self.h & np.uint64(64)) > 0
+        if not len(bits):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return tuple(np.bitwise_xor.reduceat(np.where(own, bits, np.uint64(0)), self.first).view(np.int64) for own in (~upper, upper))
+
+    def bands(self, many: int) -> list:
+        """For each set many numbers, each of the least members in two random orders: similar sets often have one in common."""
+        if not len(self.h):
+            return [np.zeros(0, np.int64)] * many
+        least = [np.minimum.reduceat(mixed(self.h * _B + _C * np.uint64(i + 1)), self.first) for i in range(2 * many)]
+        return [mixed(a * _A + b).view(np.int64) for a, b in zip(least[::2], least[1::2], strict=True)]
 
 
 def ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:

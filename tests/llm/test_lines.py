@@ -40,8 +40,9 @@ def test_matches_brute_force(docs, corpus):
 
 
 def test_small_groups_and_cells(docs, corpus, monkeypatch):
-    monkeypatch.setattr(setjoin, "BACK", 1)
-    monkeypatch.setattr(setjoin, "STAR", 1)
+    monkeypatch.setattr(setjoin, "NEAR", 2)
+    monkeypatch.setattr(setjoin, "BEST", 1)
+    monkeypatch.setattr(setjoin, "BANDS", 1)
     monkeypatch.setattr(setjoin, "STAR_CLASS", 6)
     monkeypatch.setattr(setjoin, "CROSS_CLASS", 9)
     monkeypatch.setattr(setjoin, "PAIRS", 50)
