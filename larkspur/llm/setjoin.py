@@ -28,10 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import forget, keep, prepare
-from .tokens import SINGLE, Sets, ranges, tally
+from .tokens import SINGLE, Sets, ranges, slices, tally
 
 #: Bands by which units meet the first time; first and last predecessors looked at, and how many of them are met.
-BANDS, NEAR, BEST = 3, 64, 2
+BANDS, NEAR, BEST = 2, 64, 2
 #: Count class (6 log2 of the count) of a token from which on groups are dealt to cells, for each of the two meetings.
 STAR_CLASS, CROSS_CLASS = 72, 84
 #: Rounds in which open units meet their groups, each with the tokens of one hash part: what a round shuffles is what lies on disk.
@@ -61,11 +61,11 @@ def classes(docs: DataFrame, units, t: float) -> Join:
     spark = docs.sparkSession
     prepare(spark)
     slim = keyed(docs)
-    sketch = spark.sparkContext.broadcast(tally(slim, units))  # 16 MB at most
+    sketch = spark.sparkContext.broadcast(tally(slim, units, docs.count()))  # 16 MB at most
     least = t / (1 - t) - 1e-9  # smaller sets match equal ones only
 
     def made(batches):
-        for b in batches:
+        for b in slices(batches, "text"):
             s = Sets(*units(b["text"]), sketch.value)
             (h1, h2), (sig, more) = s.names(), s.parity()
             single = np.bincount(s.unit[(s.key >> np.uint64(56)) <= SINGLE], minlength=len(s.n))  # they come first and stand nowhere else
@@ -107,9 +107,11 @@ def _cells(token, least: int):
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), more.cast("int"))
 
 
-def _group(token, cell):
-    """One number for a cell of a group; two that meet by chance cost a comparison and no more."""
-    return F.xxhash64(token, cell).alias("group")
+def _group(token, cell, order, bits: int):
+    """One number for a cell of a group, its last bits the order in it: rows are sorted by one long.
+
+    Two groups that meet by chance cost a comparison and no more."""
+    return F.shiftleft(F.xxhash64(token, cell), bits).bitwiseOR(order.cast("bigint")).alias("group")
 
 
 def _pairs(found: list):
@@ -123,35 +125,41 @@ def _starts(group: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
 
 
-def _continued(batches, held_of):
-    """(columns, rows seen before) of sorted batches, each with the rows of its first group that held_of chose of the batch before."""
+def _continued(batches, bits: int, held_of):
+    """(columns, first rows of groups, rows seen before) of sorted batches; the first group goes on with the
+    rows that held_of chose of it in the batch before."""
     held = None
     for b in batches:
         if b.num_rows:
             cols = [c.to_numpy(zero_copy_only=False) for c in b.columns]
             old = 0 if held is None else len(held[0])
             cols = [np.concatenate(c) for c in zip(held, cols, strict=True)] if old else cols
-            begin = _starts(cols[0])
+            begin = _starts(cols[0] >> bits)
             yield cols, begin, old
             keep_ = held_of(cols, begin[-1])
             held = [c[keep_] for c in cols]
 
 
+#: Bits of the order in a group: of a unit's part of the corpus, and of its role.
+_PART, _ROLE = 20, 2
+
+
 def star(join: Join) -> DataFrame:
-    """(x, y), y < x: units with the BEST by signature that they may match, of the first and the last NEAR units
-    before them in their groups of equal bands."""
+    """(x, y), y < x: of the first and the last NEAR units before a unit in its groups of equal bands,
+    the BEST by signature that it may match.  Groups are met roughly in the order of units."""
     t = join.t
     # the prefix' last token stands in all units of a large group of similar ones: its count bounds the group
     cell = F.pmod(F.xxhash64("id"), _cells(F.element_at("prefix", -1), STAR_CLASS))
     rows = join.sets.filter(F.size("prefix") > 0).select("id", "n", "sig", "more", cell.alias("cell"), F.explode("bands").alias("band"))
-    rows = rows.select(_group(F.col("band"), F.col("cell")), "id", "n", "sig", "more")
+    part = F.least(F.shiftright("id", 33), F.lit((1 << _PART) - 1))  # ids number the parts of the corpus in their upper bits
+    rows = rows.select(_group(F.col("band"), F.col("cell"), part, _PART), "id", "n", "sig", "more")
 
     def held_of(cols, last):
         size = len(cols[0])
         return np.unique(np.concatenate([np.arange(last, min(last + NEAR, size)), np.arange(max(last, size - NEAR), size)]))
 
     def met(batches):
-        for (_, ids, n, sig, more), begin, old in _continued(batches, held_of):
+        for (_, ids, n, sig, more), begin, old in _continued(batches, _PART, held_of):
             new = np.arange(old, len(ids))
             best = np.full((BEST, len(ids)), 1 << 40)  # differing bits and the row, the least first
             for k in range(2 * NEAR):
@@ -163,25 +171,23 @@ def star(join: Join) -> DataFrame:
                 if not len(i):
                     continue
                 bits = differing((sig[i], sig[j]), (more[i], more[j]))
-                ok = (ids[j] < ids[i]) & possible(n[i], 0, n[j], 0, bits, t)
+                ok = possible(n[i], 0, n[j], 0, bits, t)
                 i, found = i[ok], (bits[ok] << 32) | j[ok]
                 for rank in range(BEST):
                     best[rank, i], found = np.minimum(best[rank, i], found), np.maximum(best[rank, i], found)
             some = [np.flatnonzero(b < 1 << 40) for b in best]
-            yield _pairs([np.stack([ids[i], ids[best[rank, i] & 0xFFFFFFFF]]) for rank, i in enumerate(some)])
-
-    return rows.repartition("group").sortWithinPartitions("group", "id").mapInArrow(met, "x bigint, y bigint").distinct()
-
+            two = [np.stack([ids[i], ids[best[rank, i] & 0xFFFFFFFF]]) for rank, i in enumerate(some)]
+            yield _pairs([np.stack([p.max(0), p.min(0)]) for p in two])
 
-#: Bits of a unit's number above the number itself: a guest in a cell of others, and open.
-_GUEST, _OPEN = 62, 61
+    sent = rows.repartition(F.shiftright("group", _PART)).sortWithinPartitions("group")
+    return sent.mapInArrow(met, "x bigint, y bigint").distinct()
 
 
 def cross(join: Join, marked: DataFrame, part: int, labels: bool) -> DataFrame:
-    """(x, y): open units x with all earlier ones that they may match in their groups, for the tokens of a part.
+    """(x, y), y < x: open units x with all earlier ones that they may match in their groups, for the tokens of a part.
 
     marked: the classes with open (boolean).  With labels it also has a label: pairs of one label are left out,
-    and y may also be a later unit that is not open."""
+    and x may also be a unit that is not open if y is."""
     t = join.t
     last = "label" if labels else "more"
     rows = marked.filter(F.size("prefix") > 0).select("id", "n", "sig", "skip", "open", last, F.posexplode("prefix").alias("i", "token"))
@@ -190,22 +196,21 @@ def cross(join: Join, marked: DataFrame, part: int, labels: bool) -> DataFrame:
     own = F.pmod(F.xxhash64("id"), cells)
     visits = F.when(F.col("open") & (cells > 1), F.sequence(F.lit(0).cast("bigint"), cells - 1)).otherwise(F.array(own))
     rows = rows.withColumn("own", own).withColumn("cell", F.explode(visits))
-    flag = lambda c, bit: F.when(c, F.lit(1 << bit)).otherwise(F.lit(0)).cast("bigint")
-    who = F.col("id").bitwiseOR(flag(F.col("cell") != F.col("own"), _GUEST)).bitwiseOR(flag(F.col("open"), _OPEN))
+    role = F.when(~F.col("open"), 0).when(F.col("cell") == F.col("own"), 1).otherwise(2)  # settled hosts, open hosts, open guests
     at = F.shiftleft("n", 32).bitwiseOR((F.col("skip") + F.col("i")).cast("bigint"))  # size and place
-    rows = rows.select(_group(F.col("token"), F.col("cell")), who.alias("who"), at.alias("at"), "sig", last)
+    rows = rows.select(_group(F.col("token"), F.col("cell"), role, _ROLE), "id", at.alias("at"), "sig", last)
 
-    def held_of(cols, last):  # the hosts of a cell, which bounds them
-        return last + np.flatnonzero(cols[1][last:] < 1 << _GUEST)
+    def held_of(cols, first):  # the hosts of a cell, which bounds them
+        return first + np.flatnonzero((cols[0][first:] & 3) < 2)
 
     def met(batches):
-        for (_, who, at, sig, more), begin, old in _continued(batches, held_of):
-            n, place, ids = at >> 32, at & 0xFFFFFFFF, who & ((1 << _OPEN) - 1)
-            is_open, host = (who >> _OPEN) & 1 > 0, who < 1 << _GUEST
+        for (group, ids, at, sig, more), begin, old in _continued(batches, _ROLE, held_of):
+            n, place, role = at >> 32, at & 0xFFFFFFFF, group & 3
+            host = role < 2
             hosts = np.flatnonzero(host)
             before = np.cumsum(host) - host  # hosts before a row
             i = np.arange(old, len(ids))
-            i = i[is_open[i]]
+            i = i[role[i] > 0]
             lo, many = before[begin[i]], before[i] - before[begin[i]]
             i, lo, many = i[many > 0], lo[many > 0], many[many > 0]
             found, upto, cut = [], np.cumsum(many), 0
@@ -213,14 +218,22 @@ def cross(join: Join, marked: DataFrame, part: int, labels: bool) -> DataFrame:
                 end = max(cut + 1, int(np.searchsorted(upto, (upto[cut - 1] if cut else 0) + PAIRS, "right")))
                 p, j = np.repeat(i[cut:end], many[cut:end]), hosts[ranges(lo[cut:end], many[cut:end])]
                 cut = end
-                ok = (more[p] != more[j]) & ((ids[j] < ids[p]) | ~is_open[j]) if labels else ids[j] < ids[p]
+                # a guest meets open hosts as a host elsewhere, too: there only the later unit asks
+                later = ids[j] < ids[p]
+                ok = later | ((role[j] == 1) & (role[p] == 1))
+                if labels:
+                    ok = (more[p] != more[j]) & (ok | (role[j] == 0))
+                else:
+                    ok &= ids[j] != ids[p]
                 p, j = p[ok], j[ok]
                 bits = differing((sig[p], sig[j])) if labels else differing((sig[p], sig[j]), (more[p], more[j]))
                 ok = possible(n[p], place[p], n[j], place[j], bits, t)
-                found.append(np.stack([ids[p[ok]], ids[j[ok]]]))
+                two = np.stack([ids[p[ok]], ids[j[ok]]])
+                found.append(np.stack([two.max(0), two.min(0)]))
             yield _pairs(found)
 
-    return rows.repartition("group").sortWithinPartitions("group", "who").mapInArrow(met, "x bigint, y bigint").distinct()
+    sent = rows.repartition(F.shiftright("group", _ROLE)).sortWithinPartitions("group")
+    return sent.mapInArrow(met, "x bigint, y bigint").distinct()
 
 
 def members(join: Join, pairs: DataFrame) -> DataFrame:
@@ -232,7 +245,7 @@ def members(join: Join, pairs: DataFrame) -> DataFrame:
     texts = join.docs.join(by_doc.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("dt"))).select("text", "places")
 
     def made(batches):
-        for b in batches:
+        for b in slices(batches, "text"):
             s = Sets(*units(b["text"]))
             number = {(r, k): i for i, (r, k) in enumerate(zip(s.row.tolist(), s.number.tolist(), strict=True))}
             ids, at = [], []

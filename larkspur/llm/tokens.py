@@ -19,6 +19,8 @@ SKETCH_BITS = (16, 24)
 CHUNK = 1 << 16
 #: Bytes in which words are sought at a time.
 PIECE = 1 << 22
+#: Bytes of text that are worked on at a time.
+SLICE = 1 << 19
 #: Words longer than this are hashed one by one.
 LONG = 256
 #: Class of buckets that counted nothing but one token: 6 log2(1 + 1).
@@ -56,6 +58,17 @@ def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, bounds - bounds[0]
 
 
+def slices(batches, text: str):
+    """The batches in slices of some rows, of about SLICE bytes of text, which a processor's cache can hold."""
+    for b in batches:
+        bounds = raw(b[text])[1]
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + SLICE, "right")) - 1)
+            yield b.slice(at, end - at)
+            at = end
+
+
 def words(data: np.ndarray, bounds: np.ndarray, table: np.ndarray):
     """(start, length, breaks) of the words of all texts; breaks are the places of the ends of units."""
     starts, ends, breaks, at = [], [], [], 0
@@ -176,7 +189,7 @@ class Sets:
         """For each set many numbers, each of the least members in two random orders: similar sets often have one in common."""
         if not len(self.h):
             return [np.zeros(0, np.int64)] * many
-        least = [np.minimum.reduceat(mixed(self.h * _B + _C * np.uint64(i + 1)), self.first) for i in range(2 * many)]
+        least = [np.minimum.reduceat(mixed(self.h * _B + np.uint64(i + 1)), self.first) for i in range(2 * many)]
         return [mixed(a * _A + b).view(np.int64) for a, b in zip(least[::2], least[1::2], strict=True)]
 
 
@@ -185,17 +198,16 @@ def ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
-def tally(docs: DataFrame, units) -> np.ndarray:
+def tally(docs: DataFrame, units, rows: int) -> np.ndarray:
     """The count class (6 log2(1 + n), at most 255) of each hash bucket over all units of docs(text); 16 MB at most.
 
-    units: column -> (row, number, hash).  A task sends one compact row per chunk of buckets."""
-    n = docs.count()
-    bits = min(max(n.bit_length() + 4, SKETCH_BITS[0]), SKETCH_BITS[1])
+    units: column -> (row, number, hash); rows: about how many there are.  A task sends one compact row per chunk of buckets."""
+    bits = min(max(rows.bit_length() + 4, SKETCH_BITS[0]), SKETCH_BITS[1])
     size = 1 << bits
 
     def counted(batches):
         total = np.zeros(size, np.uint32)
-        for b in batches:
+        for b in slices(batches, "text"):
             h = units(b.column(0))[2]
             np.add.at(total, (h & np.uint64(size - 1)).astype(np.int64), np.uint32(1))
         for c in range(0, size, CHUNK):
