@@ -22,14 +22,13 @@ has a null id); repeated rows share fingerprint and component; texts are read
 whole, in pieces; columns beside doc_id and text are ignored.
 
 A fingerprint tells a similarity only roughly, so the pipeline links by the shingle
-sets themselves (``similar``): a join of the sets' least hashes finds every pair that
-can reach SIMILAR, and each is verified on the whole sets of hashes.  There texts
-without words are one node and link with nothing else.
+sets themselves (``similar``), with the exact join of ``setjoin``.
 """
 
 from __future__ import annotations
 
 import re
+from functools import partial, reduce
 from itertools import combinations
 
 import numpy as np
@@ -37,7 +36,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import setjoin
 from .common import components, forget, keep, prepare
+from .tokens import shingle_hashes
 
 BITS = 64
 DISTANCE = 2
@@ -48,11 +49,8 @@ LEAF, FAN = 16, 8
 #: Rows of a group that one task searches; larger groups are cut into tiles.
 GROUP_ROWS = 20_000
 PIECE = 1 << 20
-#: Similarity of shingle sets at which texts are near-duplicates, as a fraction; a pair is compared
-#: if it shares one of its first hashes for every COMMON of them, and one more.
-SIMILAR = (4, 5)
-COMMON = 25
-_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
+#: Similarity of shingle sets at which the pipeline's texts are near-duplicates.
+SIMILAR = 0.8
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
@@ -278,65 +276,54 @@ def classes(docs: DataFrame, most: int = DISTANCE, shingle: int = SHINGLE, seed:
     return prints.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def shingle_set(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
-    """The distinct shingle hashes of a text in order, as signed longs."""
-    parts = [np.array(h, np.uint64).view(np.int64) for h in _shingles(text, shingle, seed)]
-    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
-
+def similar(docs: DataFrame, shingle: int = 5, t: float = SIMILAR) -> DataFrame:
+    """(doc_id, t): the rows of docs, by id and a hash of the text, that come first in their group of similar texts.
+
+    Texts are linked where their sets of word shingles have a Jaccard similarity of t at least; links are followed.
+    The join is exact.  Texts that a first round has put in one component are not compared again: only those outside
+    the largest component go on, and ask those of other components.  Texts without words are not among the rows."""
+    join = setjoin.classes(docs, partial(shingle_hashes, shingle=shingle), t)
+
+    def linked(pairs):
+        whole = keep(setjoin.members(join, pairs), "near-members")
+        out = keep(setjoin.verified(join, whole, pairs).toDF("a", "b"), "near-links")
+        forget(whole)
+        forget(pairs)
+        return out
+
+    links = linked(keep(setjoin.star(join), "near-pairs"))
+    found = keep(components(links), "near-label")
+    largest = found.groupBy("component").count().orderBy(F.desc("count"), "component").limit(1).collect()
+    label = F.coalesce("component", "id")
+    is_open = F.lit(True) if not largest else label != largest[0]["component"]
+    named = join.sets.join(found.withColumnRenamed("node", "id").hint("shuffle_hash"), "id", "left")
+    marked = keep(named.select("id", "n", "sig", "skip", "prefix", is_open.alias("open"), label.alias("label")), "near-marked")
+    parts = [keep(setjoin.cross(join, marked, i, labels=True), "near-pairs") for i in range(setjoin.SLICES)]
+    forget(marked)
+    pairs = keep(reduce(DataFrame.unionByName, parts).distinct(), "near-pairs")
+    for p in parts:
+        forget(p)
+    more = linked(pairs)
+    forget(found)
+    found = keep(components(links.unionByName(more)), "near-label")
+    later = found.filter("node <> component").select(F.col("node").alias("id")).hint("shuffle_hash")
+    first = keep(join.sets.select("id", "doc_id", "t").join(later, "id", "left_anti").select("doc_id", "t"), "near-first")
+    for table in (links, more, found, join.sets):
+        forget(table)
+    return first
 
-def shingle_sets(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, node, n, hashes) of every row; node is a hash of the set, so that equal sets are one node."""
-    prepare(docs.sparkSession)
 
-    def hashed(batches):
-        from xxhash import xxh64_intdigest as xxh
+def keep_similar(docs: DataFrame, shingle: int = 5, t: float = SIMILAR) -> DataFrame:
+    """Rows of docs that come first in their group of similar texts (``similar``); of rows that repeat id and text one
+    stays, and of texts that are equal or similar the one with the least id, null ids last.
 
-        for b in batches:
-            sets = [shingle_set(t, shingle, seed) for t in b.column(1).to_pylist()]
-            node = np.array([xxh(s.tobytes(), seed) for s in sets], np.uint64).view(np.int64)
-            size = np.array([len(s) for s in sets], np.int64)
-            flat = np.concatenate([np.zeros(0, np.int64), *sets])
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], size.cumsum()]), pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(node), pa.array(size), lists], names=["doc_id", "node", "n", "hashes"])
-
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(hashed, "doc_id bigint, node bigint, n bigint, hashes array<bigint>")
-
-
-def similar_links(sets: DataFrame) -> DataFrame:
-    """(a, b) for all pairs of nodes whose sets have a Jaccard similarity of SIMILAR at least.
-
-    Exact.  A pair shares ceil(t n) hashes at least, so of the least n - ceil(t n) + l hashes of
-    each (l = n // COMMON + 1, of the smaller set) they share l; pairs of fitting sizes that do
-    are compared on the whole sets."""
-    up, down = SIMILAR
-    # one row per node: rows of a node have the same set
-    size = F.expr(f"(n * {up} + {down - 1}) div {down}")
-    common = F.expr(f"n div {COMMON} + 1")
-    head = F.slice("hashes", F.lit(1), (F.col("n") - size + common).cast("int"))
-    heads = sets.filter("n > 0").select("node", "n", head.alias("head")).groupBy("node").agg(F.first("n").alias("n"), F.first("head").alias("head"))
-    postings = heads.select("node", "n", F.explode("head").alias("h")).repartition("h")
-    x, y = postings.toDF("a", "na", "h"), postings.toDF("b", "nb", "h")
-    fits = (F.col("a") != F.col("b")) & ((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))) & (F.col("na") * down >= F.col("nb") * up)
-    met = x.join(y, "h").filter(fits).groupBy("a", "b").agg(F.count("*").alias("met"), F.first("na").alias("n"))
-    pairs = keep(met.filter(F.col("met") >= common).select("a", "b"), "pairs")
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    whole = keep(sets.join(asked, "node", "left_semi").groupBy("node").agg(F.first("hashes").alias("hashes")), "asked")
-    both = pairs.join(whole.toDF("a", "x"), "a").join(whole.toDF("b", "y"), "b")
-    shared = both.select("a", "b", (F.size("x") + F.size("y")).alias("n"), F.size(F.array_intersect("x", "y")).alias("s"))
-    return shared.filter(F.col("s") * down >= (F.col("n") - F.col("s")) * up).select("a", "b")
-
-
-def similar(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id and component_id of every row of docs, linked where shingle sets have a similarity of SIMILAR."""
-    sets = keep(shingle_sets(docs, shingle, seed), "sets")
-    found = components(keep(similar_links(sets), "links"))
-    least = sets.groupBy("node").agg(F.min("doc_id").alias("least"))
-    joined = keep(least.join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("c")), "nodes")
-    names = joined.groupBy("c").agg(F.min("least").alias("component_id"))
-    out = keep(sets.select("doc_id", "node").join(joined.join(names, "c").select("node", "component_id"), "node").select("doc_id", "component_id"), "similar")
-    for table in (sets, joined):
-        forget(table)
-    return out
+    Texts without words are similar to none: all of them stay, null ones too."""
+    first = similar(docs.select("doc_id", "text"), shingle, t).toDF("d", "dt")
+    words = F.coalesce(F.trim(F.translate("text", "\t\n\x0b\f\r", "     ")) != "", F.lit(False))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("d"), F.xxhash64("text").alias("dt"), words.alias("words"))
+    own = rows.alias("r").join(first.alias("f").hint("shuffle_hash"), F.col("r.d").eqNullSafe(F.col("f.d")) & (F.col("r.dt") == F.col("f.dt")), "left_semi")
+    kept = own.filter("words").dropDuplicates(["d", "dt"]).select("row").unionByName(rows.filter(~F.col("words")).select("row"))
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def keep_first(docs: DataFrame, most: int = DISTANCE, shingle: int = SHINGLE, seed: int = SEED, segments: int | None = None) -> DataFrame:
@@ -349,8 +336,9 @@ def first_rows(docs: DataFrame, found: DataFrame) -> DataFrame:
 
     An id names one document: rows that repeat it share the decision.  Rows with a
     null id stay where their component has no other, equal texts once."""
-    # a null-safe key of two columns, by which the rows are dealt once for the join and the grouping
-    key = lambda c: (F.coalesce(c, F.lit(0)).alias("_a"), c.isNull().alias("_b"))
+    # rows travel as one struct beside a null-safe key of two columns: no name of theirs can clash
+    key = lambda c: (F.coalesce(c, F.lit(0)).alias("a"), c.isNull().alias("b"))
     first = keep(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*key(F.col("doc_id"))).distinct(), "first")
-    kept = docs.select("*", *key(F.col("doc_id").cast("bigint"))).join(first, ["_a", "_b"], "left_semi")
-    return kept.dropDuplicates(["_a", "_b", "text"]).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("c"), *key(F.col("doc_id").cast("bigint")))
+    kept = rows.join(first, ["a", "b"], "left_semi").dropDuplicates(["a", "b", "c"])
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))
