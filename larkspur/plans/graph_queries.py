@@ -26,8 +26,8 @@ def store(spark, d) -> GraphStore:
     region = turtle.from_table(read("region"), G, "r_regionkey", EX + "r", {ex("label"): ("r_name", terms.STRING)})
     degree = (F.col("s_suppkey") % 10 + 1) / 10
     supplier = turtle.from_table(read("supplier"), G, "s_suppkey", EX + "s", {ex("of"): ("s_nationkey", "iri:" + EX + "n"), ex("sname"): ("s_name", terms.STRING)}, degree)
-    customer = turtle.from_table(read("customer").filter("c_custkey % 5 = 0"), G, "c_custkey", EX + "c", {ex("lives"): ("c_nationkey", "iri:" + EX + "n"), ex("segment"): ("c_mktsegment", terms.STRING)})
-    orders = turtle.from_table(read("orders").filter("o_totalprice > 100000"), G2, "o_orderkey", EX + "o", {ex("by"): ("o_custkey", "iri:" + EX + "c"), ex("status"): ("o_orderstatus", terms.STRING), ex("priority"): ("o_orderpriority", terms.STRING)})
+    customer = turtle.from_table(read("customer"), G, "c_custkey", EX + "c", {ex("lives"): ("c_nationkey", "iri:" + EX + "n"), ex("segment"): ("c_mktsegment", terms.STRING)})
+    orders = turtle.from_table(read("orders"), G2, "o_orderkey", EX + "o", {ex("by"): ("o_custkey", "iri:" + EX + "c"), ex("status"): ("o_orderstatus", terms.STRING), ex("priority"): ("o_orderpriority", terms.STRING)})
     s = GraphStore(spark)
     s.add(G, nation.unionByName(region).unionByName(supplier).unionByName(customer))
     s.add(G2, orders)
@@ -48,10 +48,6 @@ def num(c: str, dt: str = "integer") -> str:
     return f"""'"' || {c} || '"^^<{terms.XSD}{dt}>'"""
 
 
-CUST = "(SELECT * FROM customer WHERE c_custkey % 5 = 0)"
-ORD = "(SELECT * FROM orders WHERE o_totalprice > 100000)"
-
-
 def sparql(name, text, sql):
     register(name, sql)(lambda spark, d: run(store(spark, d), PREFIX + text))
 
@@ -59,7 +55,7 @@ def sparql(name, text, sql):
 sparql("sparql_triple", "SELECT ?n ?name { ?n ex:name ?name }", f"SELECT {iri('n', 'n_nationkey')} AS n, {lit('n_name')} AS name FROM nation")
 sparql("sparql_bgp_chain", "SELECT ?s ?label { ?s ex:of ?n . ?n ex:in ?r . ?r ex:label ?label }", f"SELECT {iri('s', 's_suppkey')} AS s, {lit('r_name')} AS label FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
 sparql("sparql_bgp_star", "SELECT ?n ?name ?k { ?n ex:name ?name ; ex:key ?k ; ex:in ex:r2 }", f"SELECT {iri('n', 'n_nationkey')} AS n, {lit('n_name')} AS name, {num('n_nationkey', 'int')} AS k FROM nation WHERE n_regionkey = 2")
-sparql("sparql_predicate_variable", "SELECT ?p (COUNT(*) AS ?c) { ?x ?p ?y } GROUP BY ?p", f"SELECT * FROM (SELECT '<{EX}name>' AS p, {num('count(*)')} AS c FROM nation UNION ALL SELECT '<{EX}in>', {num('count(*)')} FROM nation UNION ALL SELECT '<{EX}key>', {num('count(*)')} FROM nation UNION ALL SELECT '<{EX}label>', {num('count(*)')} FROM region UNION ALL SELECT '<{EX}of>', {num('count(*)')} FROM supplier UNION ALL SELECT '<{EX}sname>', {num('count(*)')} FROM supplier UNION ALL SELECT '<{EX}lives>', {num('count(*)')} FROM {CUST} UNION ALL SELECT '<{EX}segment>', {num('count(*)')} FROM {CUST})")
+sparql("sparql_predicate_variable", "SELECT ?p (COUNT(*) AS ?c) { ?x ?p ?y } GROUP BY ?p", f"SELECT * FROM (SELECT '<{EX}name>' AS p, {num('count(*)')} AS c FROM nation UNION ALL SELECT '<{EX}in>', {num('count(*)')} FROM nation UNION ALL SELECT '<{EX}key>', {num('count(*)')} FROM nation UNION ALL SELECT '<{EX}label>', {num('count(*)')} FROM region UNION ALL SELECT '<{EX}of>', {num('count(*)')} FROM supplier UNION ALL SELECT '<{EX}sname>', {num('count(*)')} FROM supplier UNION ALL SELECT '<{EX}lives>', {num('count(*)')} FROM customer UNION ALL SELECT '<{EX}segment>', {num('count(*)')} FROM customer)")
 sparql("sparql_blank_node", "SELECT DISTINCT ?r { _:x ex:in ?r }", f"SELECT DISTINCT {iri('r', 'n_regionkey')} AS r FROM nation")
 sparql(
     "sparql_optional",
@@ -82,7 +78,7 @@ sparql("sparql_group", "SELECT ?r ?n { ?r ex:label ?l . { ?n ex:in ?r . ?n ex:ke
 sparql(
     "sparql_graph_join",
     f"SELECT ?st (COUNT(?o) AS ?c) {{ ?c2 ex:segment ?seg . GRAPH <{G2}> {{ ?o ex:by ?c2 . ?o ex:status ?st }} }} GROUP BY ?st",
-    f"SELECT {lit('o_orderstatus')} AS st, {num('count(*)')} AS c FROM {ORD} JOIN {CUST} ON o_custkey = c_custkey GROUP BY o_orderstatus",
+    f"SELECT {lit('o_orderstatus')} AS st, {num('count(*)')} AS c FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY o_orderstatus",
 )
 sparql("sparql_minus", "SELECT ?n { ?n ex:name ?x . MINUS { ?n ex:in ex:r3 } }", f"SELECT {iri('n', 'n_nationkey')} AS n FROM nation WHERE n_regionkey <> 3")
 sparql(
@@ -135,18 +131,18 @@ def _graph(spark, d):
     return store(spark, d).triples().filter(F.col("g") == G)
 
 
-@register("graph_counts", f"SELECT (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM {CUST}) AS nodes, (SELECT count(*) FROM nation) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM {CUST}) AS edges")
+@register("graph_counts", f"SELECT (SELECT count(*) FROM nation) + (SELECT count(*) FROM region) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM customer) AS nodes, (SELECT count(*) FROM nation) + (SELECT count(*) FROM supplier) + (SELECT count(*) FROM customer) AS edges")
 def graph_counts(spark, d):
     t = _graph(spark, d)
     return pg.node_count(t).join(pg.edge_count(t)).select("nodes", "edges")  # one row beside one row
 
 
-@register("graph_properties", f"SELECT '<{EX}' || p || '>' AS p, n FROM (SELECT 'name' AS p, count(*) AS n FROM nation UNION ALL SELECT 'key', count(*) FROM nation UNION ALL SELECT 'label', count(*) FROM region UNION ALL SELECT 'sname', count(*) FROM supplier UNION ALL SELECT 'segment', count(*) FROM {CUST})")
+@register("graph_properties", f"SELECT '<{EX}' || p || '>' AS p, n FROM (SELECT 'name' AS p, count(*) AS n FROM nation UNION ALL SELECT 'key', count(*) FROM nation UNION ALL SELECT 'label', count(*) FROM region UNION ALL SELECT 'sname', count(*) FROM supplier UNION ALL SELECT 'segment', count(*) FROM customer)")
 def graph_properties(spark, d):
     return pg.properties(_graph(spark, d)).groupBy(terms.render(F.col("p")).alias("p")).agg(F.count("*").alias("n"))
 
 
-@register("graph_node_expansion", f"SELECT {iri('n', 'n_nationkey')} AS n, {iri('s', 's_suppkey')} AS other FROM nation JOIN supplier ON s_nationkey = n_nationkey UNION ALL SELECT {iri('n', 'n_nationkey')}, {iri('c', 'c_custkey')} FROM nation JOIN {CUST} ON c_nationkey = n_nationkey")
+@register("graph_node_expansion", f"SELECT {iri('n', 'n_nationkey')} AS n, {iri('s', 's_suppkey')} AS other FROM nation JOIN supplier ON s_nationkey = n_nationkey UNION ALL SELECT {iri('n', 'n_nationkey')}, {iri('c', 'c_custkey')} FROM nation JOIN customer ON c_nationkey = n_nationkey")
 def graph_node_expansion(spark, d):
     t = _graph(spark, d)
     start = t.filter(F.col("p.lex") == EX + "name").select(F.col("s").alias("n"))
@@ -164,11 +160,18 @@ def graph_identifier(spark, d):
 
 
 def _links(spark, d):
-    o = spark.read.parquet(f"{d}/lineitem.parquet").filter("l_quantity > 45")
-    return o.select((F.col("l_suppkey") % 50).alias("src"), (F.col("l_partkey") % 50).alias("dst")).filter("src <> dst").distinct()
+    """Trade of all orders: customers to their suppliers and parts, suppliers to parts."""
+    read = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
+    sold = read("lineitem").join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    c, s, p = (F.concat(F.lit(kind), F.col(key)) for kind, key in (("c", "o_custkey"), ("s", "l_suppkey"), ("p", "l_partkey")))
+    ends = F.explode(F.array(F.struct(c.alias("src"), s.alias("dst")), F.struct(c.alias("src"), p.alias("dst")), F.struct(s.alias("src"), p.alias("dst"))))
+    return sold.select(ends.alias("e")).select("e.src", "e.dst").distinct()
 
 
-LINKS = "(SELECT DISTINCT l_suppkey % 50 AS src, l_partkey % 50 AS dst FROM lineitem WHERE l_quantity > 45 AND l_suppkey % 50 <> l_partkey % 50)"
+LINKS = """(SELECT DISTINCT src, dst FROM (
+  SELECT 'c' || o_custkey AS src, 's' || l_suppkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  UNION ALL SELECT 'c' || o_custkey, 'p' || l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  UNION ALL SELECT 's' || l_suppkey, 'p' || l_partkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey))"""
 
 
 @register("graph_triangles", f"WITH e AS {LINKS} SELECT x.src AS a, x.dst AS b, y.dst AS c FROM e x JOIN e y ON x.dst = y.src JOIN e z ON z.src = x.src AND z.dst = y.dst")

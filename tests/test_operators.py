@@ -77,3 +77,17 @@ def test_expansions(spark):
     assert [r["other"]["lex"][-1] for r in pg.node_expansion(start, t, "n").collect()] == ["c"]
     assert [r["other"]["lex"][-1] for r in pg.node_expansion(start, t, "n", outgoing=False).collect()] == ["a"]
     assert sorted(r["node"]["lex"][-1] for r in pg.edge_expansion(pg.edges(t), to=False).collect()) == ["a", "b"]
+
+
+@pytest.mark.parametrize("flip", [False, True])
+def test_triangles_from_every_corner(spark, flip):
+    """The same triangles whichever corner the pairs of edges meet at; repeated edges and loops change nothing."""
+    import itertools
+    import random
+
+    rng = random.Random(3)
+    edges = {(rng.randrange(12), rng.randrange(12)) for _ in range(50)} | {(0, i) for i in range(1, 30)}
+    edges = {(b, a) for a, b in edges} if flip else edges
+    want = sorted((a, b, d) for (a, b), (c, d) in itertools.product(edges, edges) if b == c and (a, d) in edges)
+    got = property_graph.triangles(spark.createDataFrame([*edges, *edges], "src int, dst int")).collect()
+    assert sorted(map(tuple, got)) == want
