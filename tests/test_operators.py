@@ -89,5 +89,5 @@ def test_triangles_from_every_corner(spark, flip):
     edges = {(rng.randrange(12), rng.randrange(12)) for _ in range(50)} | {(0, i) for i in range(1, 30)}
     edges = {(b, a) for a, b in edges} if flip else edges
     want = sorted((a, b, d) for (a, b), (c, d) in itertools.product(edges, edges) if b == c and (a, d) in edges)
-    got = property_graph.triangles(spark.createDataFrame([*edges, *edges], "src int, dst int")).collect()
+    got = pg.triangles(spark.createDataFrame([*edges, *edges], "src int, dst int")).collect()
     assert sorted(map(tuple, got)) == want
