@@ -5,9 +5,9 @@ one old shard and in one block.  Old shard sizes and new capacities make a
 transport network: keeping bytes costs nothing, moving one costs one.  Its
 cheapest flow says how many bytes each old shard hands to each new one; whole
 blocks realise it, the largest first.  A block too large for that is cut by
-further bits of the text's hash, and where a single text is too large, by a hash
-of the ids.  Only shards that lose or gain a
-block are written anew.
+further bits of the text's hash, and its large texts become blocks of their own.
+Equal texts stay in one shard; only a text whose copies together outgrow a shard is
+cut, by a hash of the ids.  Only shards that lose or gain a block are written anew.
 
 Defined cases: a null text counts 0 bytes and has the checksum of no bytes; null
 ids are allowed; repeated rows are rows of their own with slots of their own;
@@ -94,12 +94,16 @@ def assign_blocks(blocks: list, capacity: list) -> dict:
     return out
 
 
+#: What names a block: old shard, two parts of the text's hash, the hash of a large text, a part of its ids.
+BLOCK = {"old": "int", "part": "int", "sub": "int", "own": "bigint", "cut": "int"}
+
+
 def facts(docs: DataFrame, *columns: str) -> DataFrame:
     """doc_id, size, text_crc32 and the block of every row; the text itself goes no further.
 
     Blocks: the old shard and a hash of the text; parts of hot blocks follow in plan()."""
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    h = F.xxhash64(F.sha2(data, 256))
+    h = F.shiftrightunsigned(F.xxhash64(F.sha2(data, 256)), 1)  # not negative
     return docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         (F.octet_length(data) + F.lit(8)).cast("bigint").alias("size"),
@@ -107,43 +111,68 @@ def facts(docs: DataFrame, *columns: str) -> DataFrame:
         F.pmod(h, F.lit(OLD_SHARDS)).cast("int").alias("old"),
         F.pmod(F.shiftright(h, 8), F.lit(BLOCKS)).cast("int").alias("part"),
         F.pmod(F.shiftright(h, 16), F.lit(CELLS)).cast("int").alias("sub"),
+        h.alias("own"),
         F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(CELLS)).cast("int").alias("cut"),
         *columns,
     )
 
 
 def _marked(rows: DataFrame, hot: set, keys: list, then: str) -> DataFrame:
-    """rows with -1 in column then where the block is not hot; hot has few hundred entries at most."""
+    """rows with -1 in column then where keys are not in hot, which has 16 x shards entries at most."""
     if not hot:
-        return rows.withColumn(then, F.lit(-1))
-    table = rows.sparkSession.createDataFrame(sorted(hot), ", ".join(f"{k} int" for k in keys)).withColumn("_hot", F.lit(True))
+        return rows.withColumn(then, F.lit(-1).cast(BLOCK[then]))
+    table = rows.sparkSession.createDataFrame(sorted(hot), ", ".join(f"{k} {BLOCK[k]}" for k in keys)).withColumn("_hot", F.lit(True))
     out = rows.join(F.broadcast(table), keys, "left")
-    return out.withColumn(then, F.when(F.col("_hot"), F.col(then)).otherwise(-1)).drop("_hot")
+    return out.withColumn(then, F.when(F.col("_hot"), F.col(then)).otherwise(-1).cast(BLOCK[then])).drop("_hot")
+
+
+def _sizes(rows: DataFrame, keys: list, above: float = -1) -> dict:
+    """Bytes of the groups of rows by keys that have more than above."""
+    sums = rows.groupBy(*keys).agg(F.sum("size").alias("bytes")).filter(F.col("bytes") > above)
+    return {tuple(r[k] for k in keys): r["bytes"] for r in sums.collect()}
 
 
 def plan(rows: DataFrame, shards: int = SHARDS) -> tuple[DataFrame, dict, DataFrame]:
     """(rows with their block, summary, block table with the new shard); rows are from facts().
 
-    A block of more than a sixteenth of a shard is planned by its CELLS parts, so there are
-    at most 16 x shards hot ones: what is collected is bounded by OLD_SHARDS x BLOCKS +
-    2 x 16 x shards x CELLS sizes, whatever the input."""
+    A block of more than a sixteenth of a shard is planned by its CELLS parts, and texts above that by
+    themselves: there are at most 16 x shards such blocks, parts and texts, and shards texts that
+    outgrow a shard, so what is collected is bounded by OLD_SHARDS x BLOCKS + 17 x shards x CELLS +
+    16 x shards sizes, whatever the input.  Small texts of one part stay one block."""
     spark = rows.sparkSession
-    sizes = {(r["old"], r["part"]): r["bytes"] for r in rows.groupBy("old", "part").agg(F.sum("size").alias("bytes")).collect()}
+    keys = list(BLOCK)
+    sizes = _sizes(rows, keys[:2])
     total = sum(sizes.values())
     limit = total / shards / 16
     hot = {k for k, v in sizes.items() if v > limit}
-    rows = _marked(rows, hot, ["old", "part"], "sub")
-    finer = {(r["old"], r["part"], r["sub"]): r["bytes"] for r in rows.filter("sub >= 0").groupBy("old", "part", "sub").agg(F.sum("size").alias("bytes")).collect()} if hot else {}
+    rows = _marked(rows, hot, keys[:2], "sub")
+    finer = _sizes(rows.filter("sub >= 0"), keys[:3]) if hot else {}
     hotter = {k for k, v in finer.items() if v > limit}
-    rows = _marked(rows, hotter, ["old", "part", "sub"], "cut")
-    finest = {(r["old"], r["part"], r["sub"], r["cut"]): r["bytes"] for r in rows.filter("cut >= 0").groupBy("old", "part", "sub", "cut").agg(F.sum("size").alias("bytes")).collect()} if hotter else {}
-    blocks = [(k[0], (*k, -1, -1), v) for k, v in sizes.items() if k not in hot]
-    blocks += [(k[0], (*k, -1), v) for k, v in finer.items() if k not in hotter]
-    blocks += [(k[0], k, v) for k, v in finest.items()]
+    large, cut = {}, {}
+    if hotter:
+        inside = spark.createDataFrame(sorted(hotter), ", ".join(f"{k} {BLOCK[k]}" for k in keys[:3]))
+        large = _sizes(rows.join(F.broadcast(inside), keys[:3]), keys[:4], limit)
+        giants = {k for k, v in large.items() if v > total / shards}
+    else:
+        giants = set()
+    rows = _marked(rows, set(large), keys[:4], "own")
+    if giants:
+        rows = _marked(rows, giants, keys[:4], "cut")
+        cut = _sizes(rows.filter("cut >= 0"), keys)
+    else:
+        rows = rows.withColumn("cut", F.lit(-1))
+    blocks = [((*k, -1, -1, -1), v) for k, v in sizes.items() if k not in hot]
+    rest = dict(finer)
+    for k, v in large.items():
+        rest[k[:3]] -= v
+    blocks += [((*k, -1, -1), v) for k, v in rest.items() if v]
+    blocks += [((*k, -1), v) for k, v in large.items() if k not in giants]
+    blocks += list(cut.items())
+    blocks = [(k[0], k, v) for k, v in blocks]
     capacity = [total // shards + (j < total % shards) for j in range(shards)]
     to = assign_blocks(blocks, capacity)
     moved = sum(v for old, k, v in blocks if to[k] != old)
-    table = spark.createDataFrame([(*k, to[k]) for _, k, _ in blocks], "old int, part int, sub int, cut int, shard int")
+    table = spark.createDataFrame([(*k, to[k]) for _, k, _ in blocks], ", ".join(f"{k} {v}" for k, v in BLOCK.items()) + ", shard int")
     touched = sorted({s for old, k, _ in blocks if to[k] != old for s in (old, to[k]) if s < shards})
     return rows, {"bytes": total, "moved": moved, "blocks": len(blocks), "touched": touched}, table
 
@@ -158,7 +187,7 @@ def reshard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     n = rows.count()
     rows, _, table = plan(rows, shards)
     pieces = max(1, min(4096, n // RANK_ROWS))
-    put = rows.join(table, ["old", "part", "sub", "cut"]).withColumn("piece", F.pmod(F.xxhash64(F.lit(11), "old", "part", "doc_id", "text_crc32"), F.lit(pieces)).cast("int"))
+    put = rows.join(table, list(BLOCK)).withColumn("piece", F.pmod(F.xxhash64(F.lit(11), "old", "part", "doc_id", "text_crc32"), F.lit(pieces)).cast("int"))
     counts = put.groupBy("shard", "piece").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("shard").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("shard", "piece", F.coalesce(before, F.lit(0)).alias("before"))
@@ -176,7 +205,7 @@ def rewrite(docs: DataFrame, path: str, shards: int = SHARDS) -> dict:
     prepare(docs.sparkSession)
     full = facts(docs, *(F.col(c).alias(f"doc_{i}") for i, c in enumerate(docs.columns)))
     full, summary, table = plan(full, shards)
-    out = full.join(table, ["old", "part", "sub", "cut"]).filter(F.col("shard").isin([*summary["touched"], -1]))
+    out = full.join(table, list(BLOCK)).filter(F.col("shard").isin([*summary["touched"], -1]))
     (
         out.select(*(F.col(f"doc_{i}").alias(c) for i, c in enumerate(docs.columns)), F.col("shard").alias("shard"), "part")
         .repartition("shard", F.expr("part div 16"))

@@ -60,3 +60,29 @@ def test_rewrite_and_empty(docs, empty, tmp_path, spark):
 def test_tiny(spark, n):
     rows = spark.range(n).selectExpr("id AS doc_id", "cast(id as string) AS text")
     assert sorted(r["slot"] for r in sharding.reshard(rows).collect()) in ([0], [0, 0], [0, 1])
+
+
+@pytest.mark.parametrize("copies", [2, 40, 400])
+def test_equal_texts_stay_together_at_every_size(spark, copies):
+    """Texts of very different lengths, some of them many times: no text is split that does not outgrow a shard."""
+    rows = spark.range(600 + copies).selectExpr("id AS doc_id", "CASE WHEN id >= 600 THEN repeat('hot', 300) ELSE repeat(md5(cast(id div 2 as string)), cast(pow(id div 2 % 12, 2.5) as int) + 1) END AS text")
+    out = sharding.reshard(rows).collect()
+    total, shards, size = sum(r["size"] for r in out), {}, {}
+    for r in out:
+        key = r["text_crc32"], r["size"]
+        shards.setdefault(key, set()).add(r["shard"])
+        size[key] = size.get(key, 0) + r["size"]
+    split = {k for k, v in shards.items() if len(v) > 1}
+    assert split <= {k for k, v in size.items() if v > total / 24}
+    by: dict = {}
+    for r in out:
+        by[r["shard"]] = by.get(r["shard"], 0) + r["size"]
+    assert len(by) == 24 and max(by.values()) - min(by.values()) <= 2 * max([v for k, v in size.items() if k not in split], default=0)
+
+
+def test_no_group_of_the_corpus_is_split(spark):
+    out = sharding.reshard(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    shards: dict = {}
+    for r in out:
+        shards.setdefault((r["text_crc32"], r["size"]), set()).add(r["shard"])
+    assert max(map(len, shards.values())) == 1
