@@ -2,7 +2,9 @@
 
 Words are runs of ASCII letters and digits and of any character above U+007F,
 after A-Z are lower-cased.  A phrase stands where its words follow one another.
-Beyond that every text block (a line) is joined with the license templates: a
+Beyond that every text block is joined with the license templates.  A block is a
+line with the lines after it until they hold as many words as the longest template,
+so a template is found wherever it starts and however its lines are wrapped.  A
 template's token set is ordered by corpus frequency, rarest first; a block that
 holds at least THRESHOLD of a template's tokens must share one of the first
 n - ceil(t n) + 1 of them (prefix filter), must have at least ceil(t n) tokens
@@ -18,6 +20,8 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -28,18 +32,25 @@ from .common import prepare
 
 #: Phrases whose places are counted, with their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-#: Sentences that stand for a license; the words are those of the public license texts.
+#: Sentences and notices that stand for a license; the words are those of the public license texts.
 TEMPLATES = {
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction",
-    "apache-2": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "gpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
-    "mpl-2": "this source code form is subject to the terms of the mozilla public license v 2 0",
-    "cc-by": "this work is licensed under a creative commons attribution license",
-    "cc-by-nc": "this work is licensed under a creative commons attribution noncommercial license",
-    "cc-by-sa": "this work is licensed under a creative commons attribution sharealike license",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
-    "unlicense": "this is free and unencumbered software released into the public domain",
+    "mit": [
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction",
+        "this software is released under the mit license",
+    ],
+    "apache-2": ["licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license"],
+    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"],
+    "gpl": [
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+        "licensed under the gnu general public license version 3",
+        "licensed under the gnu general public license version 2",
+    ],
+    "mpl-2": ["this source code form is subject to the terms of the mozilla public license v 2 0"],
+    "cc-by": ["this work is licensed under a creative commons attribution license"],
+    "cc-by-nc": ["this work is licensed under a creative commons attribution noncommercial license"],
+    "cc-by-sa": ["this work is licensed under a creative commons attribution sharealike license"],
+    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"],
+    "unlicense": ["this is free and unencumbered software released into the public domain"],
 }
 THRESHOLD = 0.8
 PIECE = 1 << 22
@@ -71,34 +82,46 @@ def places(pattern: re.Pattern, data: bytes) -> list:
     return [m.start() for m in pattern.finditer(data) if not m.start() or not _word[data[m.start() - 1]]]
 
 
+def words_of(templates: dict) -> list:
+    """(label, words) of every template, in order."""
+    return [(label, t.lower().split()) for label, ts in sorted(templates.items()) for t in ts]
+
+
 class Index:
     """Templates in frequency order with their prefixes."""
 
     def __init__(self, templates: dict, counts: dict, threshold: float):
         self.sets, self.first = [], {}
         self.order = {}
-        vocabulary = {w for t in templates.values() for w in t.lower().split()}
+        vocabulary = {w for _, ws in words_of(templates) for w in ws}
         for rank, w in enumerate(sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))):
             self.order[w.encode()] = rank
-        for label, t in sorted(templates.items()):
-            ranks = sorted({self.order[w.encode()] for w in t.lower().split()})
+        for label, ws in words_of(templates):
+            ranks = sorted({self.order[w.encode()] for w in ws})
             need = math.ceil(threshold * len(ranks) - 1e-9)
             self.sets.append((label, ranks, frozenset(ranks), need))
             for place, rank in enumerate(ranks[: len(ranks) - need + 1]):
                 self.first.setdefault(rank, []).append((len(self.sets) - 1, place))
-        self.fewest = min((s[3] for s in self.sets), default=1 << 30)
+        self.longest = max((len(ws) for _, ws in words_of(templates)), default=0)
         self.rare = [w for w, r in self.order.items() if r in self.first]
 
     def near(self, data: bytes) -> bool:
         """False only if data holds no prefix token at all."""
         return any(w in data for w in self.rare)
 
-    def labels(self, block: bytes) -> dict:
-        """Label -> containment of the templates that block contains to the threshold."""
-        if not self.near(block):
-            return {}
-        tokens = set(WORDS.findall(block))
-        ranks = sorted(self.order[w] for w in tokens if w in self.order)
+    def blocks(self, data: bytes):
+        """Token ranks of every block: a line and those after it until they hold as many words as the longest template."""
+        lines = [WORDS.findall(line) for line in data.split(b"\n")]
+        ranks = [{self.order[w] for w in set(ws) if w in self.order} for ws in lines]
+        upto = [0, *accumulate(map(len, lines))]  # words before each line, and in all
+        for i in range(len(lines)):
+            # the first line by which enough words follow line i, else the last
+            end = min(max(bisect_left(upto, upto[i + 1] + self.longest), i + 1), len(lines))
+            yield set().union(*ranks[i:end])
+
+    def labels(self, block: set) -> dict:
+        """Label -> containment of the templates that the block of token ranks contains to the threshold."""
+        ranks = sorted(block)
         found, tried = {}, set()
         for i, rank in enumerate(ranks):
             for k, place in self.first.get(rank, ()):
@@ -106,17 +129,17 @@ class Index:
                 if k in tried:
                     continue
                 tried.add(k)
-                if len(tokens) < need or min(len(ranks) - i, len(own) - place) < need:
+                if min(len(ranks) - i, len(own) - place) < need:  # length and position
                     continue
-                share = len(whole.intersection(ranks)) / len(own)
+                share = len(whole & block) / len(own)
                 if share >= need / len(own):
                     found[label] = max(found.get(label, 0.0), share)
         return found
 
 
 def token_counts(docs: DataFrame, templates: dict) -> dict:
-    """In how many of all blocks each template token stands: one counted row per token and task."""
-    words = sorted({w for t in templates.values() for w in t.lower().split()})
+    """In how many of all lines each template token stands: one counted row per token and task."""
+    words = sorted({w for _, ws in words_of(templates) for w in ws})
 
     def counted(batches):
         wanted = {w.encode() for w in words}
@@ -157,8 +180,8 @@ def scan(docs: DataFrame, phrases: dict = PHRASES, templates: dict = TEMPLATES,
                         at += hits
                         base.add(label)
                 if index.near(data):
-                    for block in data.split(b"\n"):
-                        if len(block) >= 2 * index.fewest - 1 and (got := index.labels(block)):
+                    for block in index.blocks(data):
+                        if got := index.labels(block):
                             blocks += 1
                             for label, share in got.items():
                                 more[label] = max(more.get(label, 0.0), share)
@@ -179,14 +202,22 @@ def oracle_sql(phrases: dict = PHRASES, templates: dict = TEMPLATES, threshold:
     for phrase, label in phrases.items():
         tests = " AND ".join(f"ws[i + {k}] = '{w}'" for k, w in enumerate(phrase.split()))
         places.append(f"SELECT rid, '{label}' AS label, i - 1 AS place FROM (SELECT rid, ws, unnest(range(1, len(ws) + 1)) AS i FROM d) WHERE {tests}")
-    kinds = ", ".join(f"('{label}', {sorted(set(t.split()))})" for label, t in templates.items())
+    kinds = ", ".join(f"({i}, '{label}', {sorted(set(ws))})" for i, (label, ws) in enumerate(words_of(templates)))
+    longest = max(len(ws) for _, ws in words_of(templates))
     return f"""
     WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {low} AS t, regexp_extract_all({low}, '{pattern}') AS ws FROM documents),
     hits AS ({" UNION ALL ".join(places)}),
     base AS (SELECT rid, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM hits GROUP BY rid),
-    templates AS (SELECT * FROM (VALUES {kinds}) x(label, words)),
-    blocks AS (SELECT rid, b, list_distinct(regexp_extract_all(line, '{pattern}')) AS own FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS b FROM d)),
-    contained AS (SELECT rid, b, label, len(list_intersect(own, words)) / len(words)::DOUBLE AS share FROM blocks, templates WHERE len(list_intersect(own, words)) >= ceil({threshold} * len(words) - 1e-9)),
+    templates AS (SELECT * FROM (VALUES {kinds}) x(tid, label, words)),
+    lines AS (SELECT rid, b, regexp_extract_all(line, '{pattern}') AS own FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line, unnest(range(1, len(string_split(t, chr(10))) + 1)) AS b FROM d)),
+    summed AS (SELECT rid, b, sum(len(own)) OVER (PARTITION BY rid ORDER BY b) AS upto FROM lines),
+    ends AS (SELECT x.rid, x.b, coalesce(min(y.b) FILTER (y.upto >= x.upto + {longest}), max(y.b)) AS e FROM summed x JOIN summed y ON x.rid = y.rid AND y.b >= x.b GROUP BY x.rid, x.b),
+    vocabulary AS (SELECT DISTINCT unnest(words) AS w FROM templates),
+    placed AS (SELECT DISTINCT rid, b, w FROM (SELECT rid, b, unnest(own) AS w FROM lines) JOIN vocabulary USING (w)),
+    held AS (SELECT DISTINCT ends.rid, ends.b, w FROM ends JOIN placed p ON p.rid = ends.rid AND p.b BETWEEN ends.b AND ends.e),
+    contained AS (
+      SELECT rid, b, label, count(*) / any_value(len(words))::DOUBLE AS share FROM held JOIN (SELECT tid, label, words, unnest(words) AS w FROM templates) USING (w)
+      GROUP BY rid, b, tid, label HAVING count(*) >= ceil({threshold} * any_value(len(words)) - 1e-9)),
     more AS (SELECT rid, max(share) AS share, count(DISTINCT b) AS n_blocks FROM contained GROUP BY rid),
     every AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT rid, label FROM hits UNION SELECT rid, label FROM contained) GROUP BY rid)
     SELECT doc_id, len(ws) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,

@@ -49,14 +49,31 @@ def test_join_is_exact():
     import random
 
     rng = random.Random(3)
-    templates = {f"t{i}": " ".join(rng.sample("a b c d e f g h i j k l m n o p".split(), rng.randint(3, 9))) for i in range(8)}
-    counts = {w: rng.randint(0, 50) for t in templates.values() for w in t.split()}
+    templates = {f"t{i}": [" ".join(rng.sample("a b c d e f g h i j k l m n o p".split(), rng.randint(3, 9)))] for i in range(8)}
+    counts = {w: rng.randint(0, 50) for [t] in templates.values() for w in t.split()}
     index = licenses.Index(templates, counts, 0.8)
     for _ in range(2000):
         block = set(rng.sample("a b c d e f g h i j k l m n o p q r s".split(), rng.randint(1, 12)))
-        want = {k: len(block & set(t.split())) / len(set(t.split())) for k, t in templates.items()}
+        want = {k: len(block & set(t.split())) / len(set(t.split())) for k, [t] in templates.items()}
         want = {k: v for k, v in want.items() if v >= 0.8 - 1e-9}
-        assert index.labels(" ".join(block).encode()) == want
+        got = list(index.blocks(" ".join(block).encode()))
+        assert len(got) == 1 and index.labels(got[0]) == want
+
+
+MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"
+
+
+def test_wrapped_and_short_notices_are_found(spark):
+    """A notice is found however it is wrapped and wherever it starts; its words scattered over a long text are none."""
+    import textwrap
+
+    texts = [("\n".join(textwrap.wrap(MIT, w)), "mit") for w in (20, 40, 79, 500)]
+    texts += [("some words before it " * 40 + "\n".join(textwrap.wrap("and then " + MIT, 40)) + "\nand words after it", "mit")]
+    texts += [("This work is licensed under the GNU General Public License, version 3.", "gpl")]
+    texts += [("\n".join(f"{w} {'filler ' * 40}" for w in MIT.split()), "")]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id bigint, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.scan(df).collect()}
+    assert got == {i: label for i, (_, label) in enumerate(texts)}
 
 
 def test_empty(empty):
