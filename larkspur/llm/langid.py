@@ -6,86 +6,63 @@ own counts.  A Nystroem map over landmark texts makes it finite, one-versus-rest
 kernel ridge regression learns a score per language, and whole batches of texts
 are scored by two matrix products (texts x grams x landmarks, then x languages).
 
-Characters are lower-cased and put in 128 classes by a fixed rule: a run of
-characters that are not letters is one blank, a-z and U+00DF-U+00FF have classes
-of their own, any other letter goes by its code point modulo 68.
+Texts are lower-cased; a run of characters that are not letters is one blank; grams
+are of code points as they are, of every script.
 
 Defined cases: a null text, an empty one or one without a letter is ``und`` with
-score 0; null labels and labels beyond MAX_LABELS are not learned from; with
-nothing to learn from every text is ``und``; texts are read whole, in pieces;
-repeated rows are scored alike; other columns pass through untouched, and a
-clash with an output name is an error that names the column.
+score 0; null labels are not learned from; with nothing to learn from every text
+is ``und``; texts are read whole, in pieces; repeated rows are scored alike; other
+columns pass through untouched, and a clash with an output name is an error that
+names the column.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import prepare
+from .common import keep, prepare
 
-#: Bounds of the fit: labels learned, rows per label, landmarks per label, longest
-#: landmark text and grams kept.  They bound the sample, not what is scored.
-MAX_LABELS = 100
-ROWS_PER_LABEL = 400
-LANDMARKS_PER_LABEL = 40
-LANDMARK_BYTES = 20_000
-MAX_GRAMS = 65_536
+#: Bounds of the fit's sample: rows per label and in all, and landmarks per label and in all (one
+#: per label at least).  They bound what is learned from, not what is scored.
+ROWS_PER_LABEL, SAMPLE_ROWS = 400, 40_000
+LANDMARKS_PER_LABEL, LANDMARKS = 40, 640
 RIDGE = 1e-2
 
 UND = "und"
 PIECE = 1 << 20
-_SPACE = (1 << 21) + (1 << 14) + (1 << 7)
-_tables = None
-
-
-def _classes():
-    """Class of every code point, and whether it is a letter."""
-    global _tables
-    if _tables is None:
-        points = np.arange(0x110000)
-        letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-        cls = np.where(letter, 60 + points % 68, 0).astype(np.int32)
-        cls[97:123] = np.arange(1, 27)
-        latin = np.arange(0xDF, 0x100)
-        cls[latin] = np.where(letter[latin], 27 + latin - 0xDF, 0)
-        _tables = cls, letter
-    return _tables
-
-
-class Grams:
-    """Finds the distinct grams of a text; one presence table is used again and again."""
-
-    def __init__(self):
-        self.flags = np.zeros(_SPACE, np.uint8)
-        self.cls, self.letter = _classes()
-
-    def mark(self, text: str) -> list:
-        """Sets the flags of text's grams; returns the codes set, in parts; [] if it has no letter."""
-        parts, tail, some = [], np.zeros(1, np.int32), False
-        for at in range(0, max(len(text), 1), PIECE):
-            points = np.frombuffer(text[at : at + PIECE].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-            some = some or bool(self.letter[points].any())
-            end = np.zeros(1 if at + PIECE >= len(text) else 0, np.int32)
-            c = np.concatenate([tail, self.cls[points], end])
-            blank = c == 0
-            c = c[np.concatenate([[True], ~(blank[1:] & blank[:-1])])]
-            tail = c[-2:]
-            two = (c[:-1] << 7) | c[1:]
-            three = (two[:-1] << 7) | c[2:]
-            parts += [three, two + (1 << 21), c[c > 0] + ((1 << 21) + (1 << 14))]
-        if not some:
-            return []
-        for p in parts:
-            self.flags[p] = 1
-        return parts
-
-    def clear(self, parts: list) -> None:
-        for p in parts:
-            self.flags[p] = 0
+#: Grams whose presence is multiplied with the landmarks' at a time.
+BLOCK = 1 << 15
+_PAD = 0x1FFFFF  # no code point: fills up grams of one or two characters
+_table = None
+
+
+def _letters() -> np.ndarray:
+    """Whether a code point is a letter."""
+    global _table
+    if _table is None:
+        _table = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+    return _table
+
+
+def grams(text: str | None) -> np.ndarray:
+    """The distinct grams of a text, in order, as numbers of three code points; none if it has no letter."""
+    found, tail, some = np.zeros(0, np.int64), np.zeros(1, np.int64), False
+    letter, text = _letters(), text or ""
+    for at in range(0, len(text), PIECE):
+        points = np.frombuffer(text[at : at + PIECE].lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        points[~letter[points]] = 0
+        some = some or bool(points.any())
+        end = np.zeros(1 if at + PIECE >= len(text) else 0, np.int64)
+        c = np.concatenate([tail, points, end])
+        c = c[np.concatenate([[True], (c[1:] > 0) | (c[:-1] > 0)])]
+        tail = c[-2:]
+        two = (c[:-1] << 21) | c[1:]
+        found = np.unique(np.concatenate([found, (two[:-1] << 21) | c[2:], (two << 21) | _PAD, (c[c > 0] << 42) | (_PAD << 21) | _PAD]))
+    return found if some else found[:0]
 
 
 class Model:
@@ -94,107 +71,96 @@ class Model:
     def __init__(self, labels, grams, landmarks, weights, bias):
         self.labels, self.grams, self.landmarks, self.weights, self.bias = labels, grams, landmarks, weights, bias
 
-    def score(self, texts: list, finder: Grams, dense=None) -> tuple[list, list]:
+    def kernel(self, own: list) -> np.ndarray:
+        """Grams shared with each landmark, over the root of each text's own number; own has at most some dozen texts."""
+        row = np.repeat(np.arange(len(own)), [len(g) for g in own])
+        codes = np.concatenate(own)
+        at = np.minimum(np.searchsorted(self.grams, codes), len(self.grams) - 1)
+        hit = self.grams[at] == codes
+        row, at = row[hit], at[hit]
+        shared = np.zeros((len(own), self.landmarks.shape[0]), np.float32)
+        for k in range(0, len(self.grams), BLOCK):
+            here = (at >= k) & (at < k + BLOCK)
+            seen = np.zeros((len(own), min(BLOCK, len(self.grams) - k)), np.float32)
+            seen[row[here], at[here] - k] = 1
+            shared += seen @ self.landmarks[:, k : k + BLOCK].T.astype(np.float32)
+        return shared / np.sqrt(np.maximum([[len(g)] for g in own], 1))
+
+    def score(self, texts: list) -> tuple[list, list]:
         """Labels and scores of texts (None allowed), in batches of 64."""
         names, scores = [], []
-        dense = self.landmarks.astype(np.float32).T if dense is None else dense
         for at in range(0, len(texts), 64):
-            batch = texts[at : at + 64]
-            seen = np.zeros((len(batch), len(self.grams)), np.float32)
-            own = np.ones(len(batch))
-            known = np.zeros(len(batch), bool)
-            for i, text in enumerate(batch):
-                parts = finder.mark(text) if text and self.labels else []
-                if parts:
-                    known[i] = True
-                    seen[i] = finder.flags[self.grams]
-                    own[i] = np.count_nonzero(finder.flags)
-                    finder.clear(parts)
+            own = [grams(t) for t in texts[at : at + 64]] if self.labels else []
             if not self.labels:
-                names += [UND] * len(batch)
-                scores += [0.0] * len(batch)
+                names += [UND] * len(texts[at : at + 64])
+                scores += [0.0] * len(texts[at : at + 64])
                 continue
-            kernel = (seen @ dense) / np.sqrt(own)[:, None]
-            out = kernel @ self.weights + self.bias
+            known = np.array([len(g) > 0 for g in own])
+            out = self.kernel(own) @ self.weights + self.bias
             best = out.argmax(1)
-            top = np.clip((out[np.arange(len(batch)), best] + 1) / 2, 0, 1)
+            top = np.clip((out[np.arange(len(own)), best] + 1) / 2, 0, 1)
             names += [self.labels[b] if k else UND for b, k in zip(best, known, strict=True)]
             scores += np.where(known, top, 0.0).tolist()
         return names, scores
 
 
 def sample(df: DataFrame, text: str, label: str, key: str) -> DataFrame:
-    """(label, text) of at most about ROWS_PER_LABEL rows per label, chosen by a hash of key."""
-    rows = df.select(F.col(label).alias("label"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string")).alias("h")).filter("label is not null and text is not null")
-    counts = rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(MAX_LABELS).withColumnRenamed("label", "counted")
-    share = F.least(F.lit(1.0), F.lit(1.25 * ROWS_PER_LABEL) / F.col("count"))
-    return (
-        rows.join(F.broadcast(counts), F.col("label") == F.col("counted"))  # MAX_LABELS rows at most
-        .filter(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30))
-        .orderBy("h", "label")
-        .limit(MAX_LABELS * 2 * ROWS_PER_LABEL)
-        .select("label", "text", "h")
-    )
+    """(label, text, h) of about ROWS_PER_LABEL rows per label and SAMPLE_ROWS in all, chosen by a hash of key and text; repeated rows count once."""
+    rows = df.select(F.col(label).alias("label"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("h")).filter("label is not null and text is not null")
+    counts = keep(rows.groupBy("label").count().withColumnRenamed("label", "counted"), "labels")
+    each = max(1, min(ROWS_PER_LABEL, SAMPLE_ROWS // max(1, counts.count())))
+    share = F.least(F.lit(1.0), F.lit(1.25 * each) / F.col("count"))
+    return rows.join(counts, F.col("label") == F.col("counted")).filter(F.pmod("h", F.lit(1 << 30)) < share * (1 << 30)).select("label", "text", "h").dropDuplicates(["label", "h"])
 
 
 def fit(df: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id") -> Model:
-    """Learns from the labelled rows of df, of which a bounded sample reaches the driver as gram codes."""
+    """Learns from the labelled rows of df, of which a bounded sample reaches the driver as grams: the rows of each
+    label with the least hashes, as many as the bounds say."""
     prepare(df.sparkSession)
 
     def coded(batches):
-        finder = Grams()
         for b in batches:
-            out = {"label": [], "h": [], "codes": []}
-            for lab, t, h in zip(b["label"].to_pylist(), b["text"].to_pylist(), b["h"].to_pylist(), strict=True):
-                parts = finder.mark(t)
-                if parts:
-                    finder.clear(parts)
-                    out["label"].append(lab)
-                    out["h"].append(h)
-                    out["codes"].append(np.unique(np.concatenate(parts)).astype(np.int32).tobytes())
-            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("label", pa.string()), ("h", pa.int64()), ("codes", pa.binary())]))
-
-    rows = sample(df, text, label, key).mapInArrow(coded, "label string, h bigint, codes binary").collect()
-    rows = sorted((r["label"], r["h"], r["codes"]) for r in rows)
+            found = [grams(t) for t in b["text"].to_pylist()]
+            codes = pa.array([g.tobytes() for g in found], pa.binary())
+            out = pa.RecordBatch.from_arrays([b["label"], b["h"], codes], names=["label", "h", "codes"])
+            yield out.filter(pa.array([len(g) > 0 for g in found], pa.bool_()))
+
+    coded_rows = sample(df, text, label, key).mapInArrow(coded, "label string, h bigint, codes binary")
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("h", "codes"))
+    rows = coded_rows.withColumn("rank", rank).filter(F.col("rank") <= ROWS_PER_LABEL).drop("rank").collect()
+    rows = sorted((r["label"], r["h"], bytes(r["codes"])) for r in rows)
     labels = sorted({r[0] for r in rows})
     if not labels:
         return Model([], np.zeros(0, np.int64), np.zeros((0, 0), np.uint8), None, None)
+    marks = max(1, min(LANDMARKS_PER_LABEL, LANDMARKS // len(labels)))
     taken: dict = {}
-    fitting, marks = [], []
+    fitting, chosen = [], []
     for lab, _, codes in rows:
         n = taken[lab] = taken.get(lab, 0) + 1
-        if n <= ROWS_PER_LABEL:
-            fitting.append((lab, np.frombuffer(codes, np.int32)))
-            if len(codes) <= 4 * LANDMARK_BYTES:
-                marks.append(fitting[-1])
-    per: dict = {}
-    chosen = [m for m in marks if per.setdefault(m[0], []).append(0) or len(per[m[0]]) <= LANDMARKS_PER_LABEL] or fitting[:LANDMARKS_PER_LABEL]
-    grams, times = np.unique(np.concatenate([c for _, c in chosen]), return_counts=True)
-    if len(grams) > MAX_GRAMS:
-        grams = np.sort(grams[np.argsort(-times, kind="stable")[:MAX_GRAMS]])
-    landmarks = np.stack([np.isin(grams, c) for _, c in chosen]).astype(np.uint8)
-    dense = landmarks.astype(np.float32).T
+        fitting.append((lab, np.frombuffer(codes, np.int64)))
+        if n <= marks:
+            chosen.append(fitting[-1])
+    every = np.unique(np.concatenate([c for _, c in chosen]))
+    landmarks = np.stack([np.isin(every, c, assume_unique=True) for _, c in chosen]).astype(np.uint8)
     size = np.sqrt(np.array([len(c) for _, c in chosen], float))
-
-    def kernel(group):
-        seen = np.stack([np.isin(grams, c, assume_unique=True) for _, c in group]).astype(np.float32)
-        return (seen @ dense) / np.sqrt([[len(c)] for _, c in group]) / size
-
+    model = Model(labels, every, landmarks, None, None)
+    kernel = lambda group: np.concatenate([model.kernel([c for _, c in group[i : i + 64]]) for i in range(0, len(group), 64)]) / size
     values, vectors = np.linalg.eigh(kernel(chosen).astype(float))
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])  # Nystroem: features = kernel @ root
-    feats = np.concatenate([kernel(fitting[i : i + 64]) @ root for i in range(0, len(fitting), 64)])
+    feats = kernel(fitting) @ root
     targets = np.where(np.array([lab for lab, _ in fitting])[:, None] == np.array(labels), 1.0, -1.0)
     weight = np.array([1 / taken[lab] for lab, _ in fitting])
     weight = (weight / weight.mean())[:, None]  # each language counts alike
     mean_x, mean_y = (feats * weight).mean(0), (targets * weight).mean(0)
     x, y = feats - mean_x, targets - mean_y
     beta = np.linalg.solve(x.T @ (weight * x) + RIDGE * len(x) / 100 * np.eye(x.shape[1]), x.T @ (weight * y))
-    return Model(labels, grams.astype(np.int64), landmarks, (root @ beta) / size[:, None], mean_y - mean_x @ beta)
+    model.weights, model.bias = (root @ beta) / size[:, None], mean_y - mean_x @ beta
+    return model
 
 
 def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """df with lang_pred and score; the model (some MB at most, see the bounds above) is broadcast."""
+    """df with lang_pred and score; the model, a byte for each gram and landmark at most LANDMARKS of the sample, is broadcast."""
     spark = df.sparkSession
     prepare(spark)
     if clash := {"lang_pred", "score"} & set(df.columns):
@@ -204,10 +170,9 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def scored(batches):
-        m, finder = Model(*sent.value), Grams()
-        dense = m.landmarks.astype(np.float32).T
+        m = Model(*sent.value)
         for b in batches:
-            names, scores = m.score(b.column(at).to_pylist(), finder, dense)
+            names, scores = m.score(b.column(at).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
     return df.mapInArrow(scored, schema)
