@@ -71,13 +71,17 @@ class Model:
     def __init__(self, labels, grams, landmarks, weights, bias):
         self.labels, self.grams, self.landmarks, self.weights, self.bias = labels, grams, landmarks, weights, bias
 
-    def kernel(self, own: list) -> np.ndarray:
-        """Grams shared with each landmark, over the root of each text's own number; own has at most some dozen texts."""
+    def places(self, own: list) -> tuple[np.ndarray, np.ndarray]:
+        """(text, gram) numbers of the grams of own that a landmark has."""
         row = np.repeat(np.arange(len(own)), [len(g) for g in own])
         codes = np.concatenate(own)
         at = np.minimum(np.searchsorted(self.grams, codes), len(self.grams) - 1)
         hit = self.grams[at] == codes
-        row, at = row[hit], at[hit]
+        return row[hit], at[hit]
+
+    def kernel(self, own: list, places: tuple | None = None) -> np.ndarray:
+        """Grams shared with each landmark, over the root of each text's own number; own has at most some dozen texts."""
+        row, at = places or self.places(own)
         shared = np.zeros((len(own), self.landmarks.shape[0]), np.float32)
         for k in range(0, len(self.grams), BLOCK):
             here = (at >= k) & (at < k + BLOCK)
@@ -86,22 +90,25 @@ class Model:
             shared += seen @ self.landmarks[:, k : k + BLOCK].T.astype(np.float32)
         return shared / np.sqrt(np.maximum([[len(g)] for g in own], 1))
 
-    def score(self, texts: list) -> tuple[list, list]:
-        """Labels and scores of texts (None allowed), in batches of 64."""
-        names, scores = [], []
+    def score(self, texts: list) -> tuple[list, list, list]:
+        """Labels, scores and shares of known grams of texts (None allowed), in batches of 64."""
+        names, scores, shares = [], [], []
         for at in range(0, len(texts), 64):
             own = [grams(t) for t in texts[at : at + 64]] if self.labels else []
             if not self.labels:
                 names += [UND] * len(texts[at : at + 64])
                 scores += [0.0] * len(texts[at : at + 64])
+                shares += [0.0] * len(texts[at : at + 64])
                 continue
-            known = np.array([len(g) > 0 for g in own])
-            out = self.kernel(own) @ self.weights + self.bias
+            size = np.array([len(g) for g in own])
+            known, places = size > 0, self.places(own)
+            out = self.kernel(own, places) @ self.weights + self.bias
             best = out.argmax(1)
             top = np.clip((out[np.arange(len(own)), best] + 1) / 2, 0, 1)
             names += [self.labels[b] if k else UND for b, k in zip(best, known, strict=True)]
             scores += np.where(known, top, 0.0).tolist()
-        return names, scores
+            shares += (np.bincount(places[0], minlength=len(own)) / np.maximum(size, 1)).tolist()
+        return names, scores, shares
 
 
 def sample(df: DataFrame, text: str, label: str, key: str) -> DataFrame:
@@ -160,20 +167,21 @@ def fit(df: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_
 
 
 def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """df with lang_pred and score; the model, a byte for each gram and landmark at most LANDMARKS of the sample, is broadcast."""
+    """df with lang_pred, score and lang_known (the share of a text's grams that any landmark has); the model, a byte for each gram and landmark at most LANDMARKS of the sample, is broadcast."""
     spark = df.sparkSession
     prepare(spark)
-    if clash := {"lang_pred", "score"} & set(df.columns):
+    if clash := {"lang_pred", "score", "lang_known"} & set(df.columns):
         raise ValueError(f"columns {sorted(clash)} exist already")
     sent = spark.sparkContext.broadcast((model.labels, model.grams, model.landmarks, model.weights, model.bias))
     at = df.columns.index(text)
-    schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lang_known", T.DoubleType())])
 
     def scored(batches):
         m = Model(*sent.value)
         for b in batches:
-            names, scores = m.score(b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
+            names, scores, shares = m.score(b.column(at).to_pylist())
+            more = [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], names=[*b.schema.names, "lang_pred", "score", "lang_known"])
 
     return df.mapInArrow(scored, schema)
 
