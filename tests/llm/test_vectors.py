@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 
@@ -59,16 +61,21 @@ def test_tiles(spark, vectors, monkeypatch):
     assert sorted(map(tuple, neighbours.near_duplicates(frame(spark, vectors)).collect()), key=repr) == want
 
 
+LONG = (1 << 63) - 1
+
+
+def clip(x):
+    return max(-LONG, min(LONG, int(x)))
+
+
 def brute_top(vectors, k, every):
-    rows = [(i, np.floor(256 * np.array(v, float)).astype(np.int64)) for i, v, _ in vectors if good(v)]
+    rows = [(i, [max(-LONG - 1, min(LONG, math.floor(256 * float(x)))) for x in v]) for i, v, _ in vectors if good(v)]
     out = []
-    asked = {}
-    for i, v in rows:
-        if i is not None and i % every == 0:
-            asked[i] = min(asked.get(i, v.tolist()), v.tolist())
-    for q, v in asked.items():
-        scored = sorted((-int(np.dot(v, w)), (1 << 63) - 1 if i is None else i) for i, w in rows if i != q and len(w) == len(v))
-        out += [(q, r + 1, None if i == (1 << 63) - 1 else i, -s) for r, (s, i) in enumerate(scored[:k])]
+    for at, (q, v) in enumerate(rows):
+        if q is None or q % every:
+            continue
+        scored = sorted((-clip(sum(x * y for x, y in zip(v, w, strict=True))), LONG if i is None else i) for j, (i, w) in enumerate(rows) if j != at and len(w) == len(v))
+        out += [(q, r + 1, None if i == LONG else i, -s) for r, (s, i) in enumerate(scored[:k])]
     return sorted(out, key=repr)
 
 
@@ -86,6 +93,27 @@ def test_pruning_and_blocks(spark, vectors, monkeypatch):
     assert got == brute_top(vectors, 5, 7)
 
 
+def test_rows_that_repeat_a_query(spark):
+    """Rows of one id are queries and candidates of their own, copies among them."""
+    rows = [(50, [1.0, 2.0], 0), (50, [1.0, 2.0], 0), (50, [3.0, -1.0], 0), (1, [0.5, 0.5], 0), (100, [-1.0, -1.0], 0), (None, [1.0, 2.0], 0)]
+    got = sorted(map(tuple, topk.search(frame(spark, rows)).collect()), key=repr)
+    assert got == brute_top(rows, 5, 50) and sum(r[0] == 50 for r in got) == 15
+
+
+def test_large_products(spark):
+    """Products above 2^53 are exact; those beyond long are set to its ends."""
+    big = [[2.0**22 + i, 2.0**22 - 3 * i, 1.0] for i in range(12)] + [[3e9, 1.0, -3e9], [3e9, -2.0, 3e9], [1e30, 1.0, 0.0], [-1e30, 0.0, 1.0]]
+    rows = [(i, v, 0) for i, v in enumerate(big)]
+    data = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int").repartition(2)
+    assert sorted(map(tuple, topk.search(data, every=1).collect()), key=repr) == brute_top(rows, 5, 1)
+
+
+def test_seed_threshold_loses_nothing(spark, vectors, monkeypatch):
+    monkeypatch.setattr(topk, "SEED", 8)
+    monkeypatch.setattr(topk, "BUCKET", 4)
+    assert sorted(map(tuple, topk.search(frame(spark, vectors), every=3).collect()), key=repr) == brute_top(vectors, 5, 3)
+
+
 def test_empty(spark, vectors):
     none = frame(spark, vectors).limit(0)
     assert neighbours.near_duplicates(none).count() == 0 and topk.search(none).count() == 0
