@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame
 
 
 def shared_dir(spark) -> str:
-    """spark.checkpoint.dir; a temporary folder only where it is unset."""
+    """The folder spark.checkpoint.dir names; a temporary one only in local mode, where it is unset."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="larkspur-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/larkspur"

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +11,7 @@ from pyspark.sql import types as T
 
 from .functions import native
 from .plans import dialect
+from .plans.durable import shared_dir
 from .sources import tabular
 
 _SQL_TYPES = {"text": "string", "real": "float", "float": "float", "float4": "float", "float8": "double", "bool": "boolean", "integer": "int", "int4": "int", "int8": "bigint", "numeric": "decimal", "timestamp": "timestamp_ntz", "character": "char", "varying": "string"}
@@ -25,8 +25,7 @@ class Engine:
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark = spark
         if path is None:
-            top = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="larkspur-")
-            path = f"{top.rstrip('/')}/tables-{uuid.uuid4().hex}"
+            path = f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}"
         self.path = path
         self.tables: dict = {}
         self.keys: dict = {}
