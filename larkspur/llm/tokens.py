@@ -111,12 +111,18 @@ def hashes(data: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarra
     return h
 
 
+def sections(start: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """For each of the ascending places the number of ascending cuts at or before it."""
+    at = np.searchsorted(start, cuts)
+    return np.repeat(np.arange(len(cuts) + 1), np.diff(at, prepend=0, append=len(start)))
+
+
 def line_hashes(column: pa.Array):
     """(row, line number, hash) of every word of every line, in order; words are lower-cased, between ASCII white space."""
     data, bounds = raw(pc.utf8_lower(column))
     start, length, breaks = words(data, bounds, LINES)
-    row = np.searchsorted(bounds, start, "right") - 1
-    line = np.searchsorted(breaks, start) - np.searchsorted(breaks, bounds[:-1])[row]
+    row = sections(start, bounds[1:-1])
+    line = sections(start, breaks) - np.searchsorted(breaks, bounds[:-1])[row]
     return row, line, hashes(data, start, length)
 
 
@@ -126,7 +132,7 @@ def shingle_hashes(column: pa.Array, shingle: int):
     A-Z are lower-cased; words stand between ASCII white space."""
     data, bounds = raw(pc.ascii_lower(column))
     start, length, _ = words(data, bounds, WORDS)
-    row = np.searchsorted(bounds, start, "right") - 1
+    row = sections(start, bounds[1:-1])
     h = hashes(data, start, length)
     n = np.bincount(row, minlength=len(column))  # words of each text
     first = np.cumsum(n) - n
