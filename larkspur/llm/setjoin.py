@@ -35,7 +35,7 @@ BANDS, NEAR, BEST = 2, 64, 2
 #: Count class (6 log2 of the count) of a token from which on groups are dealt to cells, for each of the two meetings.
 STAR_CLASS, CROSS_CLASS = 72, 84
 #: Rounds in which open units meet their groups, each with the tokens of one hash part: what a round shuffles is what lies on disk.
-SLICES = 2
+SLICES = 4
 #: Pairs looked at at a time.
 PAIRS = 1 << 20
 
