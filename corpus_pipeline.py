@@ -49,7 +49,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by pairs of 5-word similarity >= 0.8 stays; every such pair is found.
+    """One document of each group linked by pairs of 5-word similarity >= 0.8 stays; every such pair is found:
+    by SimHash with the Gray-order index, verified, then by an exact join for what fingerprints miss.
 
     Null ids come last in their groups; rows that repeat id and text are one; texts without words stay."""
     return simhash.keep_similar(docs, SHINGLE)

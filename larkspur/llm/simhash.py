@@ -21,8 +21,9 @@ shingle; null ids take part but name no component (a component of null ids only
 has a null id); repeated rows share fingerprint and component; texts are read
 whole, in pieces; columns beside doc_id and text are ignored.
 
-A fingerprint tells a similarity only roughly, so the pipeline links by the shingle
-sets themselves (``similar``), with the exact join of ``setjoin``.
+A fingerprint tells a similarity only roughly.  So the pipeline (``similar``) takes from the
+Gray index the texts whose fingerprints are NEAR_BITS apart at most, links those whose shingle
+sets are similar, and has the exact join of ``setjoin`` look for the pairs that this leaves.
 """
 
 from __future__ import annotations
@@ -51,6 +52,8 @@ GROUP_ROWS = 20_000
 PIECE = 1 << 20
 #: Similarity of shingle sets at which the pipeline's texts are near-duplicates.
 SIMILAR = 0.8
+#: Differing bits up to which the pipeline's texts are compared, and the segments that find them.
+NEAR_BITS, NEAR_SEGMENTS = 6, 8
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
@@ -276,11 +279,25 @@ def classes(docs: DataFrame, most: int = DISTANCE, shingle: int = SHINGLE, seed:
     return prints.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def near_pairs(join: setjoin.Join, shingle: int, most: int = NEAR_BITS, segments: int = NEAR_SEGMENTS) -> DataFrame:
+    """(x, y), y < x: sets of the join that the Gray index links, and those of equal fingerprints with their first."""
+    prints = fingerprints(join.docs.select(F.col("t").alias("doc_id"), "text"), shingle).toDF("t", "fp").dropDuplicates(["t"])
+    own = keep(join.sets.select("id", "t").join(prints.hint("shuffle_hash"), "t").select("id", "fp"), "near-prints")
+    nodes = keep(own.groupBy("fp").agg(F.min("id").alias("node")), "near-nodes")
+    links = link(nodes.select("node", "fp"), most, segments).select(F.greatest("a", "b").alias("x"), F.least("a", "b").alias("y"))
+    equal = own.join(nodes.hint("shuffle_hash"), "fp").filter("id <> node").select(F.col("id").alias("x"), F.col("node").alias("y"))
+    out = keep(links.unionByName(equal).distinct(), "near-pairs")
+    forget(own)
+    forget(nodes)
+    return out
+
+
 def similar(docs: DataFrame, shingle: int = 5, t: float = SIMILAR) -> DataFrame:
     """(doc_id, t): the rows of docs, by id and a hash of the text, that come first in their group of similar texts.
 
     Texts are linked where their sets of word shingles have a Jaccard similarity of t at least; links are followed.
-    The join is exact.  Texts that a first round has put in one component are not compared again: only those outside
+    Pairs come from the Gray index over fingerprints and are verified on the sets.  An exact join follows, which
+    finds what the fingerprints miss.  Texts that have been put in one component are not compared again: only those outside
     the largest component go on, and ask those of other components.  Texts without words are not among the rows."""
     join = setjoin.classes(docs, partial(shingle_hashes, shingle=shingle), t)
 
@@ -291,7 +308,10 @@ def similar(docs: DataFrame, shingle: int = 5, t: float = SIMILAR) -> DataFrame:
         forget(pairs)
         return out
 
-    links = linked(keep(setjoin.star(join), "near-pairs"))
+    near = near_pairs(join, shingle)
+    first = keep(near.unionByName(setjoin.star(join)).distinct(), "near-pairs")
+    forget(near)
+    links = linked(first)
     found = keep(components(links), "near-label")
     largest = found.groupBy("component").count().orderBy(F.desc("count"), "component").limit(1).collect()
     label = F.coalesce("component", "id")

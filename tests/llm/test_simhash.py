@@ -164,3 +164,23 @@ def test_pipeline_stage_keeps_what_is_less_similar(spark):
     assert 0.8 < jaccard(rows[0][1], rows[1][1]) < 0.9 and jaccard(rows[0][1], rows[2][1]) < 0.8
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == [1, 3]
+
+
+def test_similar_links_by_the_gray_index(spark, monkeypatch):
+    """With no pair of the exact join, near fingerprints still find edited copies; what is less similar stays."""
+    from larkspur.llm import setjoin
+
+    none = spark.createDataFrame([], "x bigint, y bigint")
+    monkeypatch.setattr(setjoin, "star", lambda join: none)
+    monkeypatch.setattr(setjoin, "cross", lambda *a, **k: none)
+    words = [f"w{i}" for i in range(600)]
+    texts = [words, [*words[:300], "edit", *words[301:]], ["edit", *words[1:]], [f"v{i}" for i in range(50)], words[:1], [*words, "one", "two"]]
+    # a text of a repeated run has the fingerprint of the run, with other shingles where runs meet
+    texts += [words[:3] * 2, words[:3] * 2 + words[:1]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    near = [(i, j) for i in range(len(rows)) for j in range(i) if (plain_fingerprint(rows[i][1], 5) ^ plain_fingerprint(rows[j][1], 5)).bit_count() <= simhash.NEAR_BITS]
+    links = [(i, j) for i, j in near if jaccard(rows[i][1], rows[j][1]) >= 0.8]
+    assert {(1, 0), (2, 0)} <= set(links)
+    got = {r["doc_id"] for r in simhash.keep_similar(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()}
+    gone = {i for i, _ in links}
+    assert got == set(range(len(rows))) - gone
