@@ -88,3 +88,12 @@ def test_extra_columns_and_empty(docs, empty):
     assert lines.dedup(empty).count() == 0
     with pytest.raises(ValueError):
         lines.dedup(docs.withColumnRenamed("source", "n_lines"))
+
+
+def test_runs_no_python_on_the_executors(docs, monkeypatch):
+    """The plans of all tables on the way, and of the result, are DataFrame operations only."""
+    plans, keep = [], lines.keep
+    monkeypatch.setattr(lines, "keep", lambda df, name: plans.append(df._jdf.queryExecution().toString()) or keep(df, name))
+    plans.append(lines.dedup(docs)._jdf.queryExecution().toString())
+    assert len(plans) > 5
+    assert not [p for p in plans if any(x in p for x in ("Python", "Arrow", "Pandas"))]
