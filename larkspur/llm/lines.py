@@ -15,10 +15,12 @@ tokens left behind the first shared one (positional filter), and if their parity
 signatures differ in no more bits than their symmetric difference may have.
 Survivors are verified on the whole sets.
 
-One earlier match settles a line.  So each line first meets the first line of
-its token's group and its last few predecessors there, which settles nearly all
-copies in a number of candidates linear in the input; groups of frequent tokens
-are salted for that.  Only lines still unsettled then meet the whole group.
+One earlier match settles a line.  Groups of tokens below OFTEN_CLASS hold so few
+lines that all their pairs are linear in the input.  In the groups of frequent
+tokens each line first meets the first line and its last few predecessors, which
+settles nearly all copies in a number of candidates linear in the input; the most
+frequent are salted for that.  Only lines unsettled by both then meet the whole
+groups of their frequent tokens.
 
 Defined cases: a null text has no lines and stays null; an empty one has one
 line without words; ids may be null or repeat: rows are told apart by their
@@ -39,26 +41,40 @@ from .common import forget, keep
 from .setjoin import keyed
 
 THRESHOLD = 0.8
+#: White space in a line besides the blank.
+BLANK = "\t\r\x0b\x0c"
 #: Buckets of the token sketch as powers of two: sixteen a document between these bounds, a byte each.
 SKETCH_BITS = (16, 24)
 #: Class of buckets that counted nothing but one token: 6 log2(1 + 1).
 SINGLE = 6
 #: Predecessors in a token's group that a line meets at once, besides the first.
 BACK = 2
-#: Count class (6 log2 of the count) from which on a token's group is salted.
+#: Count class (6 log2 of the count) from which on a token is frequent; 42: 127 of a bucket, so smaller groups make few pairs.
+OFTEN_CLASS = 42
+#: Count class from which on a token's group is salted.
 SALT_CLASS = 72
 #: Rounds in which postings are joined, each with the tokens of one hash part: a round's shuffle is what lies on disk.
 SLICES = 4
 
 
-def words(line):
+def spaced(text, space: str = BLANK):
+    """text with each character of space made a blank; replace() runs over bytes, translate() looks every character up."""
+    return reduce(lambda c, s: F.replace(c, F.lit(s), F.lit(" ")), space, text)
+
+
+def blank(line):
+    """Whether a line has no words; reads no further than its first character that is not white space."""
+    return F.ltrim(line, F.lit(" " + BLANK)) == ""
+
+
+def words(line, space: str = BLANK):
     """Words of a line between ASCII white space, lower-cased; empty strings are left in."""
-    return F.split(F.translate(F.lower(line), "\t\r\x0b\x0c", "    "), " ")
+    return F.split(F.lower(spaced(F.col(line) if isinstance(line, str) else line, space)), " ")
 
 
 def hashes(line):
     """Distinct 64-bit hashes of a line's words."""
-    return F.array_distinct(F.transform(F.array_remove(words(line), ""), lambda w: F.xxhash64(w)))
+    return F.array_remove(F.array_distinct(F.transform(words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def _bit(place):
@@ -67,7 +83,7 @@ def _bit(place):
 
 def sketch(docs: DataFrame, size: int) -> DataFrame:
     """One row: the count class of each of size hash buckets, over all tokens of all documents."""
-    token = docs.select(F.explode(words(F.translate("text", "\n", " "))).alias("w")).filter("w <> ''")
+    token = docs.select(F.explode(words("text", BLANK + "\n")).alias("w")).filter("w <> ''")
     counts = token.select(F.xxhash64("w").bitwiseAND(F.lit(size - 1)).cast("int").alias("b")).groupBy("b").agg(F.count("*").alias("n"))
     zeros = docs.sparkSession.range(size).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("bigint").alias("n"))
     full = counts.unionByName(zeros).groupBy("b").agg(F.least(F.lit(127), F.floor(6 * F.log2(F.sum("n") + 1))).cast("tinyint").alias("v"))
@@ -80,13 +96,14 @@ def line_sets(docs: DataFrame, t: float) -> DataFrame:
     rarest first, by which the set may meet others; the first of them is the skip-th rarest."""
     buckets = 1 << min(max(docs.count().bit_length() + 4, SKETCH_BITS[0]), SKETCH_BITS[1])
     low = F.lit((1 << 56) - 1)
-    lines = docs.select("doc_id", "t", F.posexplode(F.split("text", "\n")).alias("number", "line"))
+    # lines without words go by a test of the line: one of the size of h would be pushed down and make h twice
+    lines = docs.select("doc_id", "t", F.posexplode(F.split("text", "\n")).alias("number", "line")).filter(~blank("line"))
     hashed = lines.select("doc_id", "t", "number", hashes("line").alias("h"))
     rank = lambda v: F.shiftleft(F.get("sketch", v.bitwiseAND(F.lit(buckets - 1)).cast("int")).cast("bigint"), 56).bitwiseOR(v.bitwiseAND(low))
     parity = F.aggregate("h", F.lit(0).cast("bigint"), lambda a, v: a.bitwiseXOR(_bit(v.bitwiseAND(F.lit(63)).cast("int"))))
     # every column of these steps is used once, so the optimizer puts the scalar into the lambda and no row carries it
     ranked = hashed.select("doc_id", "t", "number", F.size("h").alias("n"), parity.alias("sig"), "h").select("*", sketch(docs, buckets).scalar().alias("sketch"))
-    ranked = ranked.select("doc_id", "t", "number", "n", "sig", F.sort_array(F.transform("h", rank)).alias("keys")).filter("n > 0")
+    ranked = ranked.select("doc_id", "t", "number", "n", "sig", F.sort_array(F.transform("h", rank)).alias("keys"))
     small = t / (1 - t) - 1e-9  # sets of fewer tokens match equal ones only
     length = F.when(F.col("n") >= small, F.col("n") - F.ceil(F.lit(t) * F.col("n") - 1e-9) + 1).otherwise(0).cast("int")
     first = F.struct(F.col("doc_id").isNull().alias("void"), "doc_id", "t", "number", "n", "sig", "head")
@@ -113,10 +130,13 @@ def possible(x, y, t: float):
     )
 
 
-def postings(sets: DataFrame, part: int, *more: str) -> DataFrame:
-    """(token, id, n, pos, sig, more): the prefix tokens of a part that another set may share."""
-    rows = sets.select("id", "n", "sig", *more, "skip", F.posexplode("prefix").alias("i", "token"))
-    rows = rows.filter(F.col("token").bitwiseAND(F.lit(SLICES - 1)) == part)
+def postings(sets: DataFrame, part: int, often: bool, *more: str) -> DataFrame:
+    """(token, id, n, pos, sig, more): the prefix tokens of a part that another set may share, those from OFTEN_CLASS on or the others."""
+    count = lambda token: F.shiftrightunsigned(token, 56)
+    wanted = lambda token: count(token) >= OFTEN_CLASS if often else count(token) < OFTEN_CLASS
+    end = F.get("prefix", F.size("prefix") - 1 if often else F.lit(0))  # the most or the least frequent
+    rows = sets.filter(wanted(end)).select("id", "n", "sig", *more, "skip", F.posexplode("prefix").alias("i", "token"))
+    rows = rows.filter((F.col("token").bitwiseAND(F.lit(SLICES - 1)) == part) & wanted(F.col("token")))
     return rows.select("token", "id", "n", (F.col("skip") + F.col("i")).alias("pos"), "sig", *more)
 
 
@@ -125,25 +145,36 @@ def first_pairs(sets: DataFrame, t: float, part: int) -> DataFrame:
 
     Groups of frequent tokens are salted by what the sketch says of them."""
     salts = F.call_function("shiftleft", F.lit(1), F.greatest(F.lit(0), F.floor((F.shiftrightunsigned("token", 56) - SALT_CLASS) / 6)).cast("int"))
-    rows = postings(sets, part).withColumn("cell", F.pmod(F.xxhash64("id"), salts).cast("int"))
+    rows = postings(sets, part, True).withColumn("cell", F.pmod(F.xxhash64("id"), salts).cast("int"))
     by = Window.partitionBy("token", "cell").orderBy("id")
     me = F.struct("id", "n", "pos", "sig")
-    rows = rows.withColumn("near", F.array(F.first(me).over(by), *(F.lag(me, i).over(by) for i in range(1, BACK + 1))))
+    near = [F.first(me).over(by), *(F.lag(me, i).over(by) for i in range(1, BACK + 1))]
+    rows = rows.select("*", *(y.alias(f"y{i}") for i, y in enumerate(near)))
     own = {c: F.col(c) for c in ("n", "pos", "sig")}
-    ok = F.filter(F.array_distinct("near"), lambda y: y.isNotNull() & (y["id"] < F.col("id")) & possible(own, y, t))
-    return rows.select("id", F.explode(F.transform(ok, lambda y: y["id"])).alias("y")).select(F.col("id").alias("x"), "y").distinct()
+    ok = lambda y: F.when((y["id"] < F.col("id")) & possible(own, y, t), y["id"])
+    ys = F.array(*(ok(F.col(f"y{i}")) for i in range(len(near))))
+    return rows.select(F.col("id").alias("x"), F.explode(ys).alias("y")).filter("y is not null").distinct()
 
 
-def other_pairs(known: DataFrame, t: float, part: int) -> DataFrame:
-    """(x, y): lines not settled yet (done = 0) with every earlier line they may match.
+def group_pairs(rows: DataFrame, t: float, open_=None) -> DataFrame:
+    """(x, y): lines of the postings rows with every earlier line of their groups that they may match.
 
-    Both sides are one exchange: whether x is settled is asked in the join, not before it."""
-    rows = postings(known, part, "done")
+    Both sides are one exchange: a condition open_ on x is asked in the join, not before it."""
     left, right = rows.alias("l"), rows.alias("r")
     side = lambda s: {c: F.col(f"{s}.{c}") for c in ("n", "pos", "sig")}
+    on = (F.col("l.token") == F.col("r.token")) & (F.col("r.id") < F.col("l.id")) & possible(side("l"), side("r"), t)
+    return left.join(right, on if open_ is None else on & open_).select(F.col("l.id").alias("x"), F.col("r.id").alias("y")).distinct()
+
+
+def near_pairs(sets: DataFrame, t: float, part: int) -> DataFrame:
+    """(x, y): the first pairs of frequent tokens, and all pairs of the others, whose groups are small."""
+    return group_pairs(postings(sets, part, False), t).unionByName(first_pairs(sets, t, part))
+
+
+def other_pairs(known: DataFrame, t: float, part: int) -> DataFrame:
+    """(x, y): lines not settled yet (done = 0) with every earlier line they may match by a frequent token."""
     open_ = F.col("l.done") * 2 <= F.col("r.done")  # l is open; both sides need the same columns
-    on = (F.col("l.token") == F.col("r.token")) & (F.col("r.id") < F.col("l.id")) & open_ & possible(side("l"), side("r"), t)
-    return left.join(right, on).select(F.col("l.id").alias("x"), F.col("r.id").alias("y")).distinct()
+    return group_pairs(postings(known, part, True, "done"), t, open_)
 
 
 def token_sets(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -191,11 +222,12 @@ def stays(docs: DataFrame, t: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """(sets, lines that stay): doc_id, t and number of the first lines of all token sets without an earlier match."""
     slim = keyed(docs)
     sets = line_sets(slim, t)
-    pairs = rounds(lambda i: first_pairs(sets, t, i))
+    pairs = rounds(lambda i: near_pairs(sets, t, i))
     later = settled(slim, sets, pairs, t)
     forget(pairs)
     done = later.select(F.col("x").alias("id"), F.lit(1).alias("done")).hint("shuffle_hash")
-    known = keep(sets.filter(F.size("prefix") > 0).join(done, "id", "left").select("id", "n", "sig", "skip", "prefix", F.coalesce("done", F.lit(0)).alias("done")), "line-known")
+    often = sets.filter(F.shiftrightunsigned(F.get("prefix", F.size("prefix") - 1), 56) >= OFTEN_CLASS)
+    known = keep(often.join(done, "id", "left").select("id", "n", "sig", "skip", "prefix", F.coalesce("done", F.lit(0)).alias("done")), "line-known")
     pairs = rounds(lambda i: other_pairs(known, t, i))
     forget(known)
     more = settled(slim, sets, pairs, t)
@@ -216,7 +248,7 @@ def dedup(docs: DataFrame, t: float = THRESHOLD) -> DataFrame:
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("t"))
     both = rows.alias("r").join(masks.alias("m").hint("shuffle_hash"), F.col("r.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("r.t") == F.col("m.t")), "left")
     bit = lambda i: F.call_function("shiftright", F.coalesce(F.get("mask", F.shiftright(i, 6)), F.lit(0).cast("bigint")), i.bitwiseAND(F.lit(63)))
-    kept = F.filter("lines", lambda line, i: (bit(i).bitwiseAND(F.lit(1).cast("bigint")) == 1) | (F.trim(F.translate(line, "\t\r\x0b\x0c", "    ")) == ""))
+    kept = F.filter("lines", lambda line, i: (bit(i).bitwiseAND(F.lit(1).cast("bigint")) == 1) | blank(line))
     out = both.select("row", "m.mask", F.split("row.text", "\n").alias("lines")).select("row", "lines", kept.alias("kept"))
     columns = [F.array_join("kept", "\n").alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns]
     count = lambda c: F.when(F.col("lines").isNull(), 0).otherwise(F.size(c))

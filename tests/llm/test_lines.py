@@ -97,3 +97,19 @@ def test_runs_no_python_on_the_executors(docs, monkeypatch):
     plans.append(lines.dedup(docs)._jdf.queryExecution().toString())
     assert len(plans) > 5
     assert not [p for p in plans if any(x in p for x in ("Python", "Arrow", "Pandas"))]
+
+
+@pytest.mark.parametrize("often", [0, 12, 127])
+def test_frequent_and_rare_tokens_lose_no_pair(docs, corpus, often, monkeypatch):
+    """All groups frequent, some, or none: the rows are the same."""
+    monkeypatch.setattr(lines, "OFTEN_CLASS", often)
+    assert result(docs) == brute(corpus)
+
+
+def test_words_are_made_once_a_pass(docs, monkeypatch):
+    """No plan makes a line's words twice, as a filter on their number would, or looks up every character."""
+    plans, keep = [], lines.keep
+    monkeypatch.setattr(lines, "keep", lambda df, name: plans.append((name, df._jdf.queryExecution().optimizedPlan().toString())) or keep(df, name))
+    plans.append(("result", lines.dedup(docs)._jdf.queryExecution().optimizedPlan().toString()))
+    assert not [name for name, p in plans if "translate(" in p]
+    assert [p.count("split(lower(") for name, p in plans if name == "line-classes"] == [2]  # the sketch, the sets
